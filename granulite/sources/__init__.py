@@ -1,0 +1 @@
+"""Where granules come from: the catalog of files, and drivers that yield their chunks."""

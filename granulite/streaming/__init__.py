@@ -1,0 +1 @@
+"""A catalog that grows while it's read."""
