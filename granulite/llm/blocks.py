@@ -29,7 +29,8 @@ from pyspark.sql import functions as F
 
 BLOCK_BYTES = 4 << 20
 PART_BYTES = 12 << 20
-KEY_BITS = 58
+#: Bits of a key: enough to count by; enough to filter by (a key takes about four bytes).
+COUNT_BITS, FILTER_BITS = 58, 46
 _U = np.uint64
 
 SENT = "__part int, __block long, payload binary"
@@ -44,16 +45,21 @@ class Sizes:
     blocks: int
     parts: int
     tasks: int
+    bits: int = COUNT_BITS
 
 
-def measure(docs: DataFrame, text: str, block_bytes: int = BLOCK_BYTES, part_bytes: int = PART_BYTES) -> Sizes:
+def measure(docs: DataFrame, text: str, block_bytes: int = BLOCK_BYTES, part_bytes: int = PART_BYTES, bits: int = COUNT_BITS) -> Sizes:
     row = docs.agg(F.count(F.lit(1)).alias("n"), F.sum(F.coalesce(F.octet_length(text), F.lit(0)) + F.lit(16).cast("long")).alias("b")).first()
     n, b = row["n"], row["b"] or 0
-    return Sizes(n, b, max(1, -(-b // block_bytes)), max(1, -(-b // part_bytes)), max(1, -(-b // (3 * block_bytes))))
+    return Sizes(n, b, max(1, -(-b // block_bytes)), max(1, -(-b // part_bytes)), max(1, -(-b // (3 * block_bytes))), bits)
 
 
 def deal(docs: DataFrame, id_: str, sizes: Sizes) -> DataFrame:
-    """docs with ``__block``, the rows of a block in one partition. A null id counts as one value."""
+    """docs with ``__block``, the rows of a block in one partition. A null id counts as one value.
+
+    What follows reads all of its columns each time: the plan then holds the same
+    exchange of texts several times, and Spark runs it once.
+    """
     block = F.pmod(F.xxhash64(F.col(id_).cast("string")), F.lit(sizes.blocks))
     return docs.withColumn("__block", block).repartition(sizes.tasks, "__block")
 
@@ -78,19 +84,19 @@ def unpack(data: bytes) -> list[np.ndarray]:
     return out
 
 
-def cut(keys: np.ndarray, parts: int) -> np.ndarray:
-    """Where each part begins in ascending keys of KEY_BITS bits, and the end."""
-    # part p holds the keys k with floor(k * parts / 2^KEY_BITS) = p
-    return np.searchsorted(keys, np.array([-(-(p << KEY_BITS) // parts) for p in range(parts)], _U)).tolist() + [len(keys)]
+def cut(keys: np.ndarray, parts: int, bits: int = COUNT_BITS) -> list[int]:
+    """Where each part begins in ascending keys of so many bits, and the end."""
+    # part p holds the keys k with floor(k * parts / 2^bits) = p
+    return np.searchsorted(keys, np.array([-(-(p << bits) // parts) for p in range(parts)], _U)).tolist() + [len(keys)]
 
 
-def short(h: np.ndarray) -> np.ndarray:
-    """64-bit hashes as keys of KEY_BITS bits."""
-    return h >> _U(64 - KEY_BITS)
+def short(h: np.ndarray, bits: int = COUNT_BITS) -> np.ndarray:
+    """64-bit hashes as keys of so many bits."""
+    return h >> _U(64 - bits)
 
 
-def _send(block: int, keys: np.ndarray, values: list[np.ndarray], parts: int) -> pa.RecordBatch:
-    at, rows = cut(keys, parts), ([], [], [])
+def _send(block: int, keys: np.ndarray, values: list[np.ndarray], parts: int, bits: int = COUNT_BITS) -> pa.Table:
+    at, rows = cut(keys, parts, bits), ([], [], [])
     for p in range(parts):
         i, j = at[p], at[p + 1]
         if i < j:
@@ -103,16 +109,16 @@ def _send(block: int, keys: np.ndarray, values: list[np.ndarray], parts: int) ->
     return pa.table({"__part": pa.array(rows[0], pa.int32()), "__block": pa.array([block] * len(rows[0]), pa.int64()), "payload": pa.array(rows[2], pa.binary())})
 
 
-def send(dealt: DataFrame, keys: Callable[[pa.Table], tuple[np.ndarray, list[np.ndarray]]], sizes: Sizes, columns: list[str]) -> DataFrame:
+def send(dealt: DataFrame, keys: Callable[[pa.Table], tuple[np.ndarray, list[np.ndarray]]], sizes: Sizes) -> DataFrame:
     """keys: from the rows of a block to its distinct keys, ascending, and arrays of values alongside."""
-    parts = sizes.parts
+    parts, bits = sizes.parts, sizes.bits
 
     def run(table: pa.Table) -> pa.Table:
         block = table.column("__block")[0].as_py()
         k, v = keys(table)
-        return _send(block, k, v, parts)
+        return _send(block, k, v, parts, bits)
 
-    return dealt.select("__block", *columns).groupBy("__block").applyInArrow(run, SENT)
+    return dealt.groupBy("__block").applyInArrow(run, SENT)
 
 
 def answer(sent: DataFrame, reply: Callable[[np.ndarray, np.ndarray, list[np.ndarray]], list[np.ndarray]], sizes: Sizes) -> DataFrame:
@@ -120,8 +126,11 @@ def answer(sent: DataFrame, reply: Callable[[np.ndarray, np.ndarray, list[np.nda
 
     The rows are ordered by block before reply sees them, so it may depend on their order.
     """
+    parts = sizes.parts
 
     def run(table: pa.Table) -> pa.Table:
+        if table.column("__part")[0].as_py() >= parts:
+            return table  # what a block sends itself
         table = table.sort_by("__block")
         keys, values, sizes_ = [], [], []
         for data in table.column("payload"):
@@ -139,6 +148,25 @@ def answer(sent: DataFrame, reply: Callable[[np.ndarray, np.ndarray, list[np.nda
     return sent.repartition(sizes.parts, "__part").groupBy("__part").applyInArrow(run, SENT)
 
 
+def send_again(dealt: DataFrame, answered: DataFrame, keys: Callable[[pa.Table, list[np.ndarray]], tuple[np.ndarray, list[np.ndarray], bytes]], sizes: Sizes) -> DataFrame:
+    """Like send, for keys that depend on answers; the bytes are what the block wants to see again."""
+    parts, bits = sizes.parts, sizes.bits
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        block = left.column("__block")[0].as_py()
+        k, v, own = keys(left, answers(right))
+        note = pa.table({"__part": pa.array([parts + block], pa.int64()).cast(pa.int32()), "__block": pa.array([block], pa.int64()), "payload": pa.array([own], pa.binary())})
+        return pa.concat_tables([_send(block, k, v, parts, bits), note])
+
+    return dealt.groupBy("__block").cogroup(answered.repartition(sizes.tasks, "__block").groupBy("__block")).applyInArrow(run, SENT)
+
+
+def note(table: pa.Table) -> tuple[pa.Table, bytes]:
+    """A block's answers without its note, and the note."""
+    table = table.sort_by("__part")
+    return table.slice(0, table.num_rows - 1), table.column("payload")[table.num_rows - 1].as_py()
+
+
 def answers(table: pa.Table) -> list[np.ndarray]:
     """A block's answers in the order of its keys."""
     if not table.num_rows:
@@ -147,13 +175,16 @@ def answers(table: pa.Table) -> list[np.ndarray]:
     return [np.concatenate(x) for x in zip(*(unpack(d.as_buffer().to_pybytes()) for d in table.column("payload")))]
 
 
-def finish(dealt: DataFrame, answered: DataFrame, columns: list[str], f: Callable[[pa.Table, list[np.ndarray]], pa.Table], schema: str, sizes: Sizes) -> DataFrame:
-    """f: from the rows of a block and its answers to rows of schema."""
+def finish(dealt: DataFrame, answered: DataFrame, f: Callable[..., pa.Table], schema: str, sizes: Sizes, noted: bool = False) -> DataFrame:
+    """f: from the rows of a block, its answers and with noted its note, to rows of schema."""
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        return f(left, answers(right))
+        if not noted:
+            return f(left, answers(right))
+        right, own = note(right)
+        return f(left, answers(right), own)
 
-    return dealt.select("__block", *columns).groupBy("__block").cogroup(answered.repartition(sizes.tasks, "__block").groupBy("__block")).applyInArrow(run, schema)
+    return dealt.groupBy("__block").cogroup(answered.repartition(sizes.tasks, "__block").groupBy("__block")).applyInArrow(run, schema)
 
 
 def groups(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -171,3 +202,17 @@ def spread(order: np.ndarray, sizes: np.ndarray, of_group: np.ndarray) -> np.nda
     out = np.empty(len(order), of_group.dtype)
     out[order] = np.repeat(of_group, sizes)
     return out
+
+
+def tally(keys: np.ndarray, flags: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct keys, ascending, how often each stands and how often with its flag set.
+
+    Sorts values alone, which is several times as fast as sorting with an order.
+    """
+    x = np.sort((keys << _U(1)) | flags.astype(_U))
+    k = x >> _U(1)
+    new = np.ones(len(k), bool)
+    new[1:] = k[1:] != k[:-1]
+    at = np.flatnonzero(new)
+    with_flag = np.add.reduceat((x & _U(1)).astype(np.int64), at) if len(at) else np.empty(0, np.int64)
+    return k[at], np.diff(np.append(at, len(k))), with_flag

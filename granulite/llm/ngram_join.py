@@ -6,7 +6,9 @@ the rarest to the most frequent. If x and y link, they share at least
 ``ceil(t |x|)`` shingles, so of the first ``|x| - ceil(t |x|) + l`` shingles of x
 and the like of y at least l are shared, for any l. A document takes the l that
 makes its estimated cost least: a longer prefix meets more documents but asks them
-for more matches before they are verified. A pair needs the lesser of both l.
+for more matches before they are verified. A pair needs the lesser of both l. With
+both sizes known a pair needs ``O = ceil(t (|x| + |y|) / (1 + t))`` shared shingles,
+so only matches among its first ``|x| - O + l`` and ``|y| - O + l`` count.
 
 How the work stays bounded:
 
@@ -29,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .blocks import BLOCK_BYTES, Sizes, answer, deal, finish, groups, measure, send, short, spread
+from .blocks import BLOCK_BYTES, FILTER_BITS, Sizes, answer, deal, finish, groups, measure, send, short, spread, tally
 from .components import components
 from .lineage import cut
 from .words import mix, windows, words
@@ -80,6 +82,7 @@ def _records(ids: pa.ChunkedArray, n_texts: int, doc: np.ndarray, h: np.ndarray,
         c = np.concatenate([[_U(0)], np.cumsum(mix(h + _U(salt)))]).astype(_U)
         sums.append((c[ends] - c[ends - n]).view(np.int64))
     known = grade > 0
+    heft = np.bincount(doc, weights=grade, minlength=n_texts) // np.maximum(n, 1)
     shared = np.bincount(doc[known], minlength=n_texts)
     least = -(-percent * n // 100)
     able = (shared >= least) & (n > 0)
@@ -102,20 +105,19 @@ def _records(ids: pa.ChunkedArray, n_texts: int, doc: np.ndarray, h: np.ndarray,
     return pa.table({
         "doc_id": ids, "n_shingles": pa.array(n, pa.int64()), "h1": pa.array(sums[0], pa.int64()), "h2": pa.array(sums[1], pa.int64()),
         "tokens": pa.ListArray.from_arrays(pa.array(np.append(at, at[-1] + count[-1] if n_texts else 0), pa.int32()), pa.array(h.view(np.int64), pa.int64())),
-        "lead": pa.array(lead, pa.int32()), "need": pa.array(need, pa.int32()),
+        "lead": pa.array(lead, pa.int32()), "need": pa.array(need, pa.int32()), "alone": pa.array(n - shared, pa.int32()), "heft": pa.array(heft, pa.int32()),
     })
 
 
 def records(docs: DataFrame, id_: str, text: str, n: int, percent: int, block_bytes: int) -> DataFrame:
     """A row for each document: set size, hash of the set, and shared shingles from rare to frequent where it may link."""
-    sizes: Sizes = measure(docs, text, block_bytes)
+    sizes: Sizes = measure(docs, text, block_bytes, bits=FILTER_BITS)
     dealt = deal(docs.select(F.col(id_).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")), "doc_id", sizes)
 
     def keys(table: pa.Table):
         _, h = shingles(table.column("text"), n)
-        k = short(h)
-        order, at, count = groups(k)
-        return k[order[at]], [count.astype(_U)]
+        k, count, _ = tally(short(h, FILTER_BITS), np.zeros(len(h), bool))
+        return k, [count.astype(_U)]
 
     def reply(k, _, values):
         order, at, count = groups(k)
@@ -124,12 +126,12 @@ def records(docs: DataFrame, id_: str, text: str, n: int, percent: int, block_by
 
     def end(table: pa.Table, got: list[np.ndarray]) -> pa.Table:
         doc, h = shingles(table.column("text"), n)
-        order, at, count = groups(short(h))
+        order, at, count = groups(short(h, FILTER_BITS))
         grade = spread(order, count, got[0]) if got else np.empty(0, _U)
         return _records(table.column("doc_id"), table.num_rows, doc, h, grade, percent)
 
-    answered = answer(send(dealt, keys, sizes, ["text"]), reply, sizes)
-    return finish(dealt, answered, ["doc_id", "text"], end, "doc_id long, n_shingles long, h1 long, h2 long, tokens array<long>, lead int, need int", sizes)
+    answered = answer(send(dealt, keys, sizes), reply, sizes)
+    return finish(dealt, answered, end, "doc_id long, n_shingles long, h1 long, h2 long, tokens array<long>, lead int, need int, alone int, heft int", sizes)
 
 
 def _verified(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
@@ -139,9 +141,16 @@ def _verified(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     return both.where(F.col("i") * 100 >= percent * (F.col("n_a") + F.col("n_b") - F.col("i"))).select("a", "b")
 
 
-def _fits(n_a: str, n_b: str, percent: int):
-    """Lengths that allow the similarity."""
-    return (F.least(n_a, n_b) * 100 >= F.greatest(n_a, n_b) * percent)
+def _fits(percent: int):
+    """Sizes that allow the similarity, and a match that is early enough in both orders."""
+    overlap = F.ceil((F.col("n_a") + F.col("n_b")) * percent / (100 + percent) - 1e-9)
+    spare = F.least("need_a", "need_b") - 1 - overlap
+    sizes = F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * percent
+    return sizes & (F.col("pos_a") <= F.col("n_a") + spare) & (F.col("pos_b") <= F.col("n_b") + spare)
+
+
+def _side(lists: DataFrame, s: str, *more: str) -> DataFrame:
+    return lists.select("token", F.col("node").alias(s), F.col("n_shingles").alias(f"n_{s}"), F.col("need").alias(f"need_{s}"), F.col("pos").alias(f"pos_{s}"), *more)
 
 
 def ngram_jaccard_join(docs: DataFrame, id_: str = "doc_id", text: str = "text", n: int = 5, percent: int = 75, block_bytes: int = BLOCK_BYTES) -> DataFrame:
@@ -162,15 +171,18 @@ def ngram_jaccard_join(docs: DataFrame, id_: str = "doc_id", text: str = "text",
     rows = cut(records(docs, id_, text, n, percent, block_bytes))
     key = ["n_shingles", "h1", "h2"]
     full = rows.where("n_shingles > 0")
-    classes = full.where("lead > 0").groupBy(*key).agg(F.min("doc_id").alias("class_id"), F.first("tokens").alias("tokens"), F.first("lead").alias("lead"), F.first("need").alias("need"))
+    classes = full.where("lead > 0").groupBy(*key).agg(F.min("doc_id").alias("class_id"), *(F.first(c).alias(c) for c in ("tokens", "lead", "need", "alone", "heft")))
     classes = cut(classes.withColumn("node", F.monotonically_increasing_id()))
-    lists = classes.select("node", "n_shingles", "need", F.explode(F.slice("tokens", 1, F.col("lead"))).alias("token"))
-    hubs = lists.groupBy("token").agg(F.count(F.lit(1)).alias("c"), F.min("node").alias("hub"), F.max("need").alias("most")).where("c > 1").drop("most")
-    lists = cut(lists.join(hubs, "token").select("token", "node", "n_shingles", "need", "hub"))
-
-    met = lists.where("node <> hub").groupBy("node", "hub").agg(F.count(F.lit(1)).alias("c"))
-    met = met.withColumn("r", F.row_number().over(Window.partitionBy("node").orderBy(F.desc("c"), "hub"))).where(F.col("r") <= HUBS)
-    links = cut(_verified(met.select(F.col("node").alias("a"), F.col("hub").alias("b")), classes, percent))
+    lists = classes.select("node", "n_shingles", "need", "alone", "heft", F.posexplode(F.slice("tokens", 1, F.col("lead"))).alias("pos", "token"))
+    lists = lists.withColumn("pos", F.col("pos") + F.col("alone"))  # shingles of no other document come first
+    first = ((255 - F.col("heft")).cast("long") * (1 << 54) + F.col("node"))
+    hubs = lists.groupBy("token").agg(F.count(F.lit(1)).alias("c"), F.min(first).alias("hub")).where("c > 1").select("token", (F.col("hub") % (1 << 54)).alias("hub"))
+    lists = cut(lists.join(hubs, "token").select("token", "node", "n_shingles", "need", "pos", "hub"))
+
+    hub = _side(lists.where("node = hub"), "b")
+    met = _side(lists.where("node <> hub"), "a").join(hub, "token").where(_fits(percent)).groupBy("a", "b").agg(F.count(F.lit(1)).alias("c"))
+    met = met.withColumn("r", F.row_number().over(Window.partitionBy("a").orderBy(F.desc("c"), "b"))).where(F.col("r") <= HUBS)
+    links = cut(_verified(met, classes, percent))
     label = cut(components(links))
     lists = lists.drop("hub").join(label, "node", "left").withColumn("label", F.coalesce("label", "node"))
 
@@ -178,9 +190,9 @@ def ngram_jaccard_join(docs: DataFrame, id_: str = "doc_id", text: str = "text",
     most = lists.groupBy("token", "label").agg(F.count(F.lit(1)).alias("c")).groupBy("token")
     most = most.agg(F.max(F.struct("c", "label")).alias("m"), F.count(F.lit(1)).alias("k")).where("k > 1").select("token", F.col("m.label").alias("main"))
     apart = cut(lists.join(most, "token"))
-    x = apart.where("label <> main").select("token", F.col("node").alias("a"), F.col("n_shingles").alias("n_a"), F.col("need").alias("need_a"), F.col("label").alias("label_a"))
-    y = apart.select("token", F.col("node").alias("b"), F.col("n_shingles").alias("n_b"), F.col("need").alias("need_b"), F.col("label").alias("label_b"), "main")
-    pairs = x.join(y, "token").where("label_a <> label_b and (label_b = main or a < b)").where(_fits("n_a", "n_b", percent))
+    x = _side(apart.where("label <> main"), "a", F.col("label").alias("label_a"))
+    y = _side(apart, "b", F.col("label").alias("label_b"), "main")
+    pairs = x.join(y, "token").where("label_a <> label_b and (label_b = main or a < b)").where(_fits(percent))
     # a pair may stand once either way round, by which component is the main one of a list
     pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.least("need_a", "need_b").alias("need"))
     pairs = pairs.groupBy("a", "b").agg(F.count(F.lit(1)).alias("c"), F.first("need").alias("need")).where("c >= need")
