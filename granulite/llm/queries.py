@@ -5,18 +5,110 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from . import mixing
+from .compression_rules import compression_rules
+from .kd_shards import kd_shards
+from .language_id import language_id
+from .lm_score import lm_score
 from .ngram_join import ngram_jaccard_join
+from .pieces import decode_pieces, encode_pieces
+from .substring_dedup import substring_dedup
+from .topk_search import topk_search
+from .warc import warc_round_trip
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id(_table(spark, sf_dir, "documents"))
+
+
+def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = substring_dedup(_table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
+def op3_kd_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return kd_shards(_table(spark, sf_dir, "documents"))
+
+
+def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = warc_round_trip(_table(spark, sf_dir, "pages"))
+    return out.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op5_compression_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return compression_rules(_table(spark, sf_dir, "documents"))
+
+
+def op6_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk_search(_table(spark, sf_dir, "embeddings"))
+
+
+def op7_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix_sources(_table(spark, sf_dir, "documents"))
+
+
 def op8_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_jaccard_join(_table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op8_ngram_jaccard_join,)}
+def op9_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_score(_table(spark, sf_dir, "documents"))
+
+
+def op10_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Encodes and decodes; text_sha256 is of the decoded text."""
+    out = decode_pieces(encode_pieces(_table(spark, sf_dir, "documents")))
+    return out.select("doc_id", "n_tokens", "n_chunks", F.xxhash64("ids").alias("ids_hash"), F.sha2("text", 256).alias("text_sha256"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    f.__name__: f
+    for f in (op1_language_id, op2_substring_dedup, op3_kd_shards, op4_warc, op5_compression_rules, op6_topk_search, op7_mix_sources, op8_ngram_jaccard_join, op9_lm_score, op10_pieces)
+}
+
+WORDS = r"regexp_extract_all(coalesce({}, ''), '[^\x20\x09-\x0D]+')"
+LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op2_substring_dedup": f"""
+WITH d AS (SELECT doc_id, {WORDS.format("text")} AS w FROM documents),
+p AS (SELECT doc_id, w, unnest(range(1, len(w) - 18)) AS i FROM d WHERE len(w) >= 20),
+k AS (SELECT doc_id, i, row_number() OVER (PARTITION BY list_aggregate(w[i:i + 19], 'string_agg', ' ') ORDER BY doc_id, i) AS r FROM p),
+gone AS (SELECT DISTINCT doc_id, unnest(range(i, i + 20)) AS j FROM k WHERE r > 1),
+g AS (SELECT doc_id, list(j) AS js FROM gone GROUP BY doc_id),
+x AS (SELECT d.doc_id, w, coalesce(js, []) AS js FROM d LEFT JOIN g USING (doc_id)),
+y AS (SELECT doc_id, len(w) AS n_words, len(js) AS n_removed, list_filter(w, lambda a, i: NOT list_contains(js, i)) AS kept FROM x)
+SELECT doc_id, n_words::BIGINT AS n_words, n_removed::BIGINT AS n_removed, sha256(coalesce(list_aggregate(kept, 'string_agg', ' '), '')) AS kept_sha256 FROM y
+""",
+    "op4_warc": """
+WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS n, sha1(coalesce(html, '')) AS d FROM pages),
+t AS (SELECT *, max(page_id) OVER (PARTITION BY d) AS top FROM p)
+SELECT page_id, n::BIGINT AS payload_bytes, d AS payload_digest, CASE WHEN n >= 1000 AND top <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
+    CASE WHEN n >= 1000 AND top <> page_id THEN top END AS refers_to FROM t
+""",
+    "op6_topk_search": """
+WITH v AS (SELECT vec_id, unnest(embedding)::DOUBLE AS x, unnest(range(len(embedding))) AS i FROM embeddings),
+n AS (SELECT vec_id, i, floor(256 * x)::BIGINT AS x FROM v),
+s AS (SELECT q.vec_id AS query_id, c.vec_id, sum(q.x * c.x)::BIGINT AS score FROM n q JOIN n c ON q.i = c.i AND q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0 GROUP BY ALL),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank FROM s)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
+""",
+    "op7_mix_sources": mixing.oracle_sql(),
+    "op8_ngram_jaccard_join": f"""
+WITH RECURSIVE d AS (SELECT doc_id, {WORDS.format(LOWER.format("text"))} AS w FROM documents),
+p AS (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS i FROM d WHERE len(w) > 0),
+s AS (SELECT DISTINCT doc_id, list_aggregate(w[i:i + 4], 'string_agg', ' ') AS g FROM p),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
+c AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY ALL),
+l AS (SELECT a, b FROM c JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 75 * (x.n + y.n - c)),
+r AS (SELECT a, b FROM l UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a)
+SELECT d.doc_id, coalesce(any_value(n.n), 0)::BIGINT AS n_shingles, least(d.doc_id, coalesce(min(r.b), d.doc_id)) AS component_id
+FROM d LEFT JOIN n USING (doc_id) LEFT JOIN r ON r.a = d.doc_id GROUP BY d.doc_id
+""",
+}
