@@ -22,9 +22,9 @@ SYMBOLS = np.zeros(256, bool)
 SYMBOLS[list(b"#*$%&|<>")] = True
 SPACES = " \t\n\v\f\r"
 #: Bytes below which a row holds; least and largest ratio of a whole text. The last holds for all longer ones.
-DOCUMENT_BANDS = ((64, 0.0, 2.0), (128, 0.40, 1.10), (256, 0.36, 1.02), (512, 0.32, 0.92), (1024, 0.28, 0.84), (2048, 0.25, 0.78), (4096, 0.23, 0.72), (16384, 0.20, 0.68), (1 << 62, 0.16, 0.66))
+DOCUMENT_BANDS = ((64, 0.0, 2.0), (128, 0.45, 1.25), (256, 0.45, 1.10), (512, 0.45, 0.95), (1024, 0.44, 0.85), (2048, 0.41, 0.78), (4096, 0.39, 0.72), (16384, 0.365, 0.68), (1 << 62, 0.31, 0.66))
 #: Bytes of a chunk (a last one of less than half of it goes with the one before), its band, and the percentage of chunks that may lie outside it.
-CHUNK, CHUNK_BAND, CHUNKS_OUTSIDE = 2048, (0.22, 0.85), 25
+CHUNK, CHUNK_BAND, CHUNKS_OUTSIDE = 2048, (0.36, 0.78), 25
 LEVEL = 3
 
 
