@@ -92,14 +92,15 @@ def _records(ids: pa.ChunkedArray, n_texts: int, doc: np.ndarray, h: np.ndarray,
     doc, h, grade = doc[order], h[order], grade[order]
     count = np.where(able, shared, 0)
     at = np.cumsum(count) - count
-    # cost of the first k tokens of a text: how many documents their lists hold
+    # cost of the first k tokens of a text, as a text of its size would meet them: how many documents their lists hold
+    like = n - -(-2 * percent * n // (100 + percent)) - (n - shared)
     cost = np.concatenate([[0.0], np.cumsum(2.0 ** (grade.astype(float) / 8) - 1)])
     lead, need, best = np.zeros(n_texts, np.int64), np.zeros(n_texts, np.int64), np.full(n_texts, np.inf)
     for l in range(1, LONGEST + 1):
         k = shared - least + l
         ok = able & (l <= least)
         i = np.where(ok, at, 0)
-        total = (cost[np.where(ok, i + k, 0)] - cost[i]) * (1 + VERIFY_COST / l)
+        total = (cost[i + np.where(ok, np.clip(like + l, 0, k), 0)] - cost[i]) * (1 + VERIFY_COST / l)
         better = ok & (total < best)
         lead[better], need[better], best[better] = k[better], l, total[better]
     return pa.table({
