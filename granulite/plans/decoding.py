@@ -19,9 +19,9 @@ def catalog_columns(spark, sf_dir):
 def point_geometry(spark, sf_dir):
     """Points, with rows of latitude beyond 79.5 moved out of range."""
     from ..sources.scan import pixel_scan as scan
-    from .fixtures import CENTRE, TABLE
+    from .fixtures import centre, TABLE
 
-    x, y = CENTRE
+    x, y = centre()
     px = scan(file_catalog(spark, sf_dir), files(spark, sf_dir), TABLE, ["file_id", "index", "point"], point=(x, F.when(y > 60, y + 60).otherwise(y)))
     return px.select("file_id", "index", F.col("point.x").alias("x"), F.col("point.y").alias("y"))
 

@@ -60,8 +60,14 @@ PIXELS = (
   floor(embedding[i + 1]::DOUBLE * 1000)::INT AS raw, lon0 + (i % 8 + 0.5) / 8 AS lon, lat0 + 1 - (i // 8 + 0.5) / 8 AS lat FROM g, (SELECT unnest(range(64)) AS i) u)"""
 )
 
-FILE_BOX = geometry.box(F.col("lon0"), F.col("lat0"), F.col("lon0") + 1, F.col("lat0") + 1)
-CENTRE = (F.col("lon0") + (F.col("sample") + 0.5) / 8, F.col("lat0") + 1 - (F.col("line") + 0.5) / 8)
+
+def file_box():
+    """A file's box, in the catalog."""
+    return geometry.box(F.col("lon0"), F.col("lat0"), F.col("lon0") + 1, F.col("lat0") + 1)
+
+
+def centre() -> tuple:
+    return F.col("lon0") + (F.col("sample") + 0.5) / 8, F.col("lat0") + 1 - (F.col("line") + 0.5) / 8
 
 
 def corners() -> list:
@@ -85,4 +91,4 @@ def pixels(spark: SparkSession, sf_dir: str, columns: list[str], **options) -> D
     from ..sources.scan import pixel_scan
 
     table = options.pop("table", TABLE)
-    return pixel_scan(file_catalog(spark, sf_dir), files(spark, sf_dir), table, columns, point=CENTRE, corners=corners(), **options)
+    return pixel_scan(file_catalog(spark, sf_dir), files(spark, sf_dir), table, columns, point=centre(), corners=corners(), **options)

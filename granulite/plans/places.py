@@ -9,7 +9,7 @@ from ..operators import geometry
 from ..operators.prune import file_condition
 from ..sources.scan import Geo
 from ..spec import Role
-from .fixtures import CATALOG, FILE_BOX, PIXELS, catalog, file_catalog, pixels
+from .fixtures import CATALOG, file_box, PIXELS, catalog, file_catalog, pixels
 from .scans import REGION
 
 #: The argument's box.
@@ -33,7 +33,7 @@ def _argument(op: str):
 def _query(op: str):
     def query(spark, sf_dir):
         geo = (Geo(op, geometry.box(*_argument(op)), Role.FOOTPRINT),)
-        return pixels(spark, sf_dir, ["file_id", "index"], geo=geo, file_box=FILE_BOX)
+        return pixels(spark, sf_dir, ["file_id", "index"], geo=geo, file_box=file_box())
 
     a = _argument(op)
     foot = f"{PIXELS}, f AS (SELECT *, lon - 0.0625 AS l, lat - 0.0625 AS b, lon + 0.0625 AS r, lat + 0.0625 AS t, " + ", ".join(f"{v}::DOUBLE AS {k}" for k, v in zip(_A, a)) + " FROM px)"
@@ -48,7 +48,7 @@ def geom_not(spark, sf_dir):
     out = None
     for op in geometry.OPERATORS:
         geo = (Geo(op, geometry.box(*BOX), Role.FOOTPRINT, True),)
-        n = pixels(spark, sf_dir, ["file_id"], geo=geo, file_box=FILE_BOX).agg(F.lit(op).alias("op"), F.count(F.lit(1)).alias("n"), F.count_distinct("file_id").alias("files"))
+        n = pixels(spark, sf_dir, ["file_id"], geo=geo, file_box=file_box()).agg(F.lit(op).alias("op"), F.count(F.lit(1)).alias("n"), F.count_distinct("file_id").alias("files"))
         out = n if out is None else out.unionByName(n)
     return out
 
@@ -56,14 +56,14 @@ def geom_not(spark, sf_dir):
 def geom_conjunction(spark, sf_dir):
     a, b = geometry.box(*BOX), geometry.box(0, -90, 360, 10)
     geo = (Geo("overlaps", a, Role.FOOTPRINT), Geo("overleft", a, Role.POINT), Geo("within", b, Role.FOOTPRINT, True), Geo("right", b, Role.POINT, True))
-    return pixels(spark, sf_dir, ["file_id", "index", "v"], geo=geo, file_box=FILE_BOX)
+    return pixels(spark, sf_dir, ["file_id", "index", "v"], geo=geo, file_box=file_box())
 
 
 def file_pruning(spark, sf_dir):
     """How many files each implied condition leaves, and how many hold a match."""
     c = file_catalog(spark, sf_dir)
     a = geometry.box(*BOX)
-    counts = [F.count(F.when(file_condition(op, neg, FILE_BOX, a), 1)).alias(f"{'not_' if neg else ''}{op}") for op in geometry.OPERATORS for neg in (False, True)]
+    counts = [F.count(F.when(file_condition(op, neg, file_box(), a), 1)).alias(f"{'not_' if neg else ''}{op}") for op in geometry.OPERATORS for neg in (False, True)]
     return c.agg(*counts)
 
 

@@ -10,7 +10,7 @@ from ..operators import decode, geometry
 from ..sources import catalog as cat
 from ..sources.drivers import chunks
 from ..sources.scan import Geo
-from .fixtures import CATALOG, FILE_BOX, FILES, PIXELS, TABLE, catalog, file_catalog, files, pixels
+from .fixtures import CATALOG, file_box, FILES, PIXELS, TABLE, catalog, file_catalog, files, pixels
 
 #: A region as a ring.
 REGION = [(-60.0, -40.0), (20.0, -50.0), (60.0, 30.0), (-20.0, 45.0)]
@@ -18,7 +18,7 @@ GRID = dataclasses.replace(TABLE, driver="grid", lines=8)
 
 
 def pixel_scan(spark, sf_dir):
-    inside = pixels(spark, sf_dir, ["file_id", "line_id", "sample_id", "point", "v"], geo=(Geo("within", geometry.box_of(REGION)),), file_box=FILE_BOX)
+    inside = pixels(spark, sf_dir, ["file_id", "line_id", "sample_id", "point", "v"], geo=(Geo("within", geometry.box_of(REGION)),), file_box=file_box())
     return inside.where(geometry.in_polygon(F.col("point"), geometry.ring_of(REGION))).select("file_id", "line_id", "sample_id", "v")
 
 
@@ -65,10 +65,10 @@ def missing_product(spark, sf_dir):
 
 def sample_rows(spark, sf_dir):
     few = cat.sample(file_catalog(spark, sf_dir), 1000, seed=7)
-    from .fixtures import CENTRE, corners
+    from .fixtures import centre, corners
     from ..sources.scan import pixel_scan as scan
 
-    px = scan(few, files(spark, sf_dir), TABLE, ["file_id", "index", "v"], point=CENTRE, corners=corners())
+    px = scan(few, files(spark, sf_dir), TABLE, ["file_id", "index", "v"], point=centre(), corners=corners())
     return px.orderBy(F.rand(11)).limit(100)
 
 
