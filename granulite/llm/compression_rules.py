@@ -22,9 +22,13 @@ SYMBOLS = np.zeros(256, bool)
 SYMBOLS[list(b"#*$%&|<>")] = True
 SPACES = " \t\n\v\f\r"
 #: Bytes below which a row holds; least and largest ratio of a whole text. The last holds for all longer ones.
-DOCUMENT_BANDS = ((64, 0.0, 2.0), (128, 0.45, 1.25), (256, 0.45, 1.10), (512, 0.45, 0.95), (1024, 0.44, 0.85), (2048, 0.41, 0.78), (4096, 0.39, 0.72), (16384, 0.365, 0.68), (1 << 62, 0.31, 0.66))
+#: Largest ratios lie between those of prose and of noise of that length: random letters and digits from 256 bytes on, random lower-case letters from 1,024 on.
+DOCUMENT_BANDS = (
+    (64, 0.0, 2.0), (128, 0.45, 1.25), (256, 0.45, 1.10), (384, 0.45, 0.82), (512, 0.45, 0.79), (640, 0.44, 0.76), (768, 0.44, 0.74), (1024, 0.44, 0.70), (1280, 0.41, 0.61), (1536, 0.41, 0.595),
+    (2048, 0.41, 0.575), (3072, 0.39, 0.565), (4096, 0.39, 0.56), (8192, 0.365, 0.55), (16384, 0.365, 0.54), (1 << 62, 0.31, 0.52),
+)
 #: Bytes of a chunk (a last one of less than half of it goes with the one before), its band, and the percentage of chunks that may lie outside it.
-CHUNK, CHUNK_BAND, CHUNKS_OUTSIDE = 2048, (0.36, 0.78), 25
+CHUNK, CHUNK_BAND, CHUNKS_OUTSIDE = 2048, (0.36, 0.575), 25
 LEVEL = 3
 
 

@@ -227,6 +227,30 @@ def test_compression_bands_reject_extremes(spark):
     assert got[2] == (True, False) and got[3] == (False, False) and got[1] == (False, True)
 
 
+def test_compression_bands_reject_noise(docs):
+    """Noise of any length that compression can tell from prose, and prose that is half noise."""
+    import random
+    import string
+
+    r = random.Random(8)
+    letters, alnum = string.ascii_lowercase, string.ascii_letters + string.digits
+
+    def noise(symbols, size, least=3, most=10):
+        return " ".join("".join(r.choice(symbols) for _ in range(r.randint(least, most))) for _ in range(size // least))[:size]
+
+    rows = {f"letters {n}": noise(letters, n) for n in (1100, 1500, 2000, 3000, 8000, 40000)}
+    rows |= {f"alnum {n}": noise(alnum, n) for n in (300, 500, 700, 1500)} | {f"base64 {n}": noise(alnum + "+/", n, 40, 40) for n in (300, 700, 900, 3000)}
+    prose = sorted(x.text for x in docs.collect() if x.text and kept(x.text) and len(x.text) > 4000)
+    assert prose
+    for x in prose[:5]:
+        n = len(x) // 2
+        rows |= {f"half letters {len(rows)}": x[:n] + noise(letters, n), f"half base64 {len(rows)}": noise(alnum + "+/", n, 40, 40) + x[:n]}
+    names = list(rows)
+    df = docs.sparkSession.createDataFrame([(i, rows[k]) for i, k in enumerate(names)] + [(1000 + i, x) for i, x in enumerate(prose)], "doc_id long, text string")
+    got = {x.doc_id: x.kept for x in compression_rules(df).collect()}
+    assert [names[i] for i in range(len(names)) if got[i]] == [] and all(got[1000 + i] for i in range(len(prose)))
+
+
 def test_ppm_probabilities_sum_to_one():
     m = Model({"a": [b"abracadabra", b"a"], "b": [b"xyzzy", "é".encode()]})
     width = np.ones(m.bits.shape[1])
