@@ -336,6 +336,19 @@ def test_equal_texts_share_a_shard(spark):
     assert all(len(v) == 1 for v in where.values())
 
 
+@pytest.mark.parametrize("copies, most", [(4, 1.05), (20, 1.3)])
+def test_large_groups_share_a_shard(spark, copies, most):
+    """Groups of more than a 32nd of a shard, and of 0.2 to 0.7 shards, beside single rows; sizes stay as near as whole groups let them."""
+    rows = [(i, f"text {i // copies} " * (15 + i // copies % 30), f"s{i % 5}", "en") for i in range(600)]
+    rows += [(1000 + i, f"row {i} " * (1 + i % 9), f"s{i % 7}", "de") for i in range(2000)]
+    where, total = defaultdict(set), Counter()
+    for r in kd_shards(spark.createDataFrame(rows, "doc_id long, text string, source string, lang string")).collect():
+        where[r.text_crc32].add(r.shard)
+        total[r.shard] += r.size
+    assert all(len(v) == 1 for v in where.values())
+    assert max(total.values()) < most * sum(total.values()) / 24
+
+
 def test_mixing(docs, odd, none):
     out = mixing.mix_sources(docs).collect()
     n = sum(len(split(t)) for _, t in texts(docs))
