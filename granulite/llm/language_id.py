@@ -18,6 +18,8 @@ known one. Scoring a text is one pass of array lookups over its bytes.
 
 from __future__ import annotations
 
+from collections import Counter
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -25,18 +27,14 @@ from pyspark.sql import functions as F
 
 from .words import buffers, segments
 
-#: Training rows for each language, at most; bytes of a training row's text at most (longer ones aren't taken); contexts' length.
+#: Training rows for each language, at most; bytes of a training row's text at most, longer ones being taken as far as that; contexts' length.
 ROWS, ROW_BYTES, ORDER = 400, 16384, 3
+#: A language with fewer sampled rows within the limit takes longer ones as well.
+FEW = 20
 
 
-def training_rows(docs: DataFrame, rows: int = ROWS, row_bytes: int = ROW_BYTES) -> DataFrame:
-    """(lang, text): of each language the rows of least hash in each of ``rows`` ranges of hashes.
-
-    A bounded sample of labelled rows, whole texts, that needs no sort of a language's
-    rows: one aggregation with a bounded state for each language and range.
-    """
-    size = F.octet_length("text")
-    usable = docs.where(F.col("lang").isNotNull() & (size > 0) & (size <= row_bytes))
+def _sample(usable: DataFrame, rows: int) -> DataFrame:
+    """Of each language the row of least hash in each of ``rows`` ranges of hashes."""
     usable = usable.withColumn("h", F.xxhash64("text")).withColumn("range", F.pmod(F.xxhash64("h"), F.lit(rows)))
     least = usable.groupBy("lang", "range").agg(F.min("h").alias("h"))
     found = usable.join(F.broadcast(least), ["lang", "range", "h"])  # languages x ranges rows
@@ -44,6 +42,24 @@ def training_rows(docs: DataFrame, rows: int = ROWS, row_bytes: int = ROW_BYTES)
     return found.dropDuplicates(["lang", "range", "h"]).withColumn("r", F.row_number().over(one)).where("r = 1").select("lang", "text")
 
 
+def training_rows(docs: DataFrame, rows: int = ROWS, row_bytes: int = ROW_BYTES) -> list[tuple[str, bytes]]:
+    """(lang, text): of each language the rows of least hash in each of ``rows`` ranges of hashes.
+
+    A bounded sample of labelled rows, whole texts, that needs no sort of a language's
+    rows: one aggregation with a bounded state for each language and range. A language
+    with fewer than FEW of them (all languages are asked for, also those without one)
+    takes the beginnings of at most FEW longer rows too, of row_bytes each.
+    """
+    size = F.octet_length("text")
+    labelled = docs.where(F.col("lang").isNotNull() & (size > 0))
+    out = [(r["lang"], r["text"].encode()) for r in _sample(labelled.where(size <= row_bytes), rows).collect()]
+    enough = [k for k, n in Counter(k for k, _ in out).items() if n >= min(FEW, rows)]
+    longer = labelled.where((size > row_bytes) & ~F.col("lang").isin(enough))
+    # as many characters have at least as many bytes
+    longer = longer.select("lang", F.substring("text", 1, row_bytes).alias("text"))
+    return out + [(r["lang"], r["text"].encode()[:row_bytes].decode(errors="ignore").encode()) for r in _sample(longer, min(FEW, rows)).collect()]
+
+
 class Model:
     """Context trees of some languages as tables.
 
@@ -151,8 +167,8 @@ def predict(lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def train(docs: DataFrame, order: int = ORDER, rows: int = ROWS, row_bytes: int = ROW_BYTES) -> Model:
     """docs: columns lang and text. The sample that comes to the driver is bounded by rows, row_bytes and the number of languages."""
     texts: dict[str, list[bytes]] = {}
-    for r in training_rows(docs, rows, row_bytes).collect():
-        texts.setdefault(r["lang"], []).append(r["text"].encode())
+    for k, text in training_rows(docs, rows, row_bytes):
+        texts.setdefault(k, []).append(text)
     return Model({k: sorted(v) for k, v in texts.items()}, order)
 
 

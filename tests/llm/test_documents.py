@@ -303,6 +303,14 @@ def test_language_id(docs, odd, none):
     assert language_id(none).count() == 0
 
 
+def test_language_of_long_rows_only(spark):
+    """A language that is labelled on rows above the limit alone is learned from their beginnings."""
+    a, b = "the cat sat on the mat and looked at the dog ", "żółw i jeż idą przez łąkę pod dębem "
+    rows = [(i, a * (2 + i % 5), "en") for i in range(60)] + [(100 + i, b * (600 + i), "pl") for i in range(6)] + [(200 + i, b * 3 + str(i), None) for i in range(8)]
+    got = {r.doc_id: r.lang_pred for r in language_id(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
+    assert {got[k] for k in got if k >= 100} == {"pl"} and {got[k] for k in range(60)} == {"en"}
+
+
 def test_kd_shards(docs, odd, none):
     for df, shards in ((docs, 24), (odd, 5)):
         src = texts(df)
