@@ -25,8 +25,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Rows of a block of candidates and of queries; parts of a list that are read before bounds are compared.
-CANDIDATES, QUERIES, DEPTHS = 8192, 512, (0.5, 0.75)
+#: Rows of a block of candidates and of queries; parts of a list that are read before bounds are compared, as long as a query is open.
+CANDIDATES, QUERIES, DEPTHS = 8192, 512, (0.5, 0.625, 0.75, 0.8125, 0.875, 0.90625, 0.9375, 0.96875)
+#: A query is open while more than this part of the vectors, and more than 4 k, may be among its best.
+OPEN = 1 / 64
 
 
 def nra(q: np.ndarray, x: np.ndarray, k: int, own: np.ndarray | None = None, depths=DEPTHS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -39,19 +41,22 @@ def nra(q: np.ndarray, x: np.ndarray, k: int, own: np.ndarray | None = None, dep
     lists = np.sort(x, axis=0)  # ascending; the top of a list is its end
     up, down = np.maximum(q, 0), np.minimum(q, 0)
     alive = np.ones((len(q), n), bool) if own is None else ~own
+    few = max(4 * k, n * OPEN)
     for part in depths:
         r = int(n * part)
-        if r < 1 or n <= 4 * k:
+        open_ = np.flatnonzero(alive.sum(1) > few)
+        if r < 1 or n <= 4 * k or not len(open_):
             continue
+        live = alive[open_]
+        some = np.flatnonzero(live.any(0))  # vectors that an open query may still take
+        live, v, u, d = live[:, some], x[some], up[open_].T, down[open_].T
         top, bottom = lists[n - r], lists[r - 1]  # the last values read from either end
-        upper = np.maximum(x, top) @ up.T + np.minimum(x, bottom) @ down.T
-        lower = np.where(x >= top, x, lists[0]) @ up.T + np.where(x <= bottom, x, lists[-1]) @ down.T
-        lower = np.where(alive, lower.T, -np.inf)
-        bar = np.partition(lower, n - k, axis=1)[:, n - k]
-        alive &= upper.T >= bar[:, None]
+        upper = np.maximum(v, top) @ u + np.minimum(v, bottom) @ d
+        lower = np.where(v >= top, v, lists[0]) @ u + np.where(v <= bottom, v, lists[-1]) @ d
+        lower = np.where(live, lower.T, -np.inf)
+        bar = np.partition(lower, len(some) - k, axis=1)[:, len(some) - k]
+        alive[np.ix_(open_, some)] = live & (upper.T >= bar[:, None])
     i, j = np.nonzero(alive)  # those not ruled out: read on to the end of the lists
-    if len(i) * 20 > alive.size:  # cheaper for all at once
-        return i, j, (q @ x.T)[i, j]
     score = np.empty(len(i))
     for at in range(0, len(i), 1 << 16):
         s = slice(at, at + (1 << 16))

@@ -59,6 +59,19 @@ def test_nra_is_exact():
             assert {(b, full[a, b]) for b in np.flatnonzero(full[a] >= bar)} <= got and all(full[a, b] == v for b, v in got)
 
 
+def test_nra_reads_on_until_few_are_left():
+    """Only candidates that the bounds leave are scored, and they hold the best."""
+    r = np.random.default_rng(5)
+    x = r.normal(size=(2000, 64))
+    x = np.floor(256 * x / np.linalg.norm(x, axis=1, keepdims=True))
+    q = x[::50]
+    i, j, s = nra(q, x, 5)
+    full = q @ x.T
+    assert len(i) < 0.05 * full.size and (full[i, j] == s).all()
+    bar = np.sort(full, axis=1)[:, -5]
+    assert set(zip(*np.nonzero(full >= bar[:, None]))) <= set(zip(i, j))
+
+
 def best(rows, k=5, every=50):
     clean = {(i, tuple(math.floor(256 * float(v)) for v in x)) for i, x in rows if i is not None and x is not None and all(v is not None and math.isfinite(v) for v in x)}
     out = []
