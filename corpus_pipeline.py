@@ -31,16 +31,21 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component stays, that with the least id; of equal rows one.
+    """One row of each component stays, that with the least id; of equal rows one.
 
-    Rows that share that id all stay if their texts differ; documents without a word
-    don't link, and stay.
+    Where rows share an id or have none, each is taken by itself, by a key of id and text,
+    and of a component's rows with its least id the one with the least key stays; a null
+    id comes last. Documents without a word don't link, and stay.
     """
-    if docs.groupBy("doc_id").count().where("count > 1").take(1):
-        docs = docs.dropDuplicates(["doc_id", "text"])
-    first = ngram_jaccard_join(docs).where("doc_id <=> component_id").select("doc_id").distinct()
-    stays = F.col("doc_id").eqNullSafe(F.col("first_id"))
-    return docs.join(first.withColumnRenamed("doc_id", "first_id"), stays, "left_semi").select(*COLUMNS)
+    if not docs.groupBy("doc_id").count().where("count > 1").take(1):
+        first = ngram_jaccard_join(docs).where("doc_id <=> component_id").select("doc_id").distinct()
+        stays = F.col("doc_id").eqNullSafe(F.col("first_id"))
+        return docs.join(first.withColumnRenamed("doc_id", "first_id"), stays, "left_semi").select(*COLUMNS)
+    rows = docs.dropDuplicates(["doc_id", "text"]).withColumn("row_key", F.xxhash64("doc_id", "text"))
+    found = ngram_jaccard_join(rows, id_="row_key").select(F.col("doc_id").alias("row_key"), "component_id")
+    found = found.join(rows.select("row_key", "doc_id"), "row_key")
+    least = found.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row_key")).alias("first"))
+    return rows.join(least.select("first.row_key"), "row_key", "left_semi").select(*COLUMNS)
 
 
 def passage_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

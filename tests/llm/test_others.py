@@ -162,6 +162,19 @@ def test_pipeline(spark, docs, none):
     assert sorted(map(tuple, (r[:4] for r in p.run(spark, sf_dir).collect()))) == sorted(map(tuple, (r[:4] for r in before[p.STAGES[-1][0]])))
 
 
+def test_near_duplicates_under_shared_ids(spark):
+    """One row of each component, also if rows share an id."""
+    import corpus_pipeline as p
+
+    a, b, c = (" ".join(f"{x}{i}" for i in range(60)) for x in "abc")
+    rows = [(1, a), (5, a + " end"), (5, b), (7, c), (7, c + " end"), (7, c), (8, None), (8, ""), (None, b + " end"), (None, "lone words"), (9, "  ")]
+    df = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = [(r.doc_id, r.text) for r in p.near_duplicate_stage(spark, df, "").collect()]
+    linked = [(i, (t or "")[:2]) for i, t in got if t and len(t) > 60]
+    assert Counter(linked) == {(1, "a0"): 1, (5, "b0"): 1, (7, "c0"): 1}
+    assert Counter(x for x in got if not x[1] or len(x[1]) < 60) == {(8, None): 1, (8, ""): 1, (None, "lone words"): 1, (9, "  "): 1}
+
+
 def test_pipeline_on_odd_rows(spark, odd, none):
     import corpus_pipeline as p
 
