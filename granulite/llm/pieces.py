@@ -14,29 +14,35 @@ themselves, stay as they are, so weights are 0 for neighbours that do and minus
 infinity for others: one path is left, and it's the library's result. A state must
 name its piece for that. Where the text has a word's beginning at the boundary, all
 pieces end, and there is one state only; the walk from states to the next word's
-beginning is short, and words between are looked up or encoded by the library.
-Documents of one chunk are such words alone.
+beginning is short, and words between are encoded by the library, each different one
+once. Documents of one chunk are such words alone. Words are told apart, and their
+ids put in their places, on arrays: no object is made for a word or an id.
 """
 
 from __future__ import annotations
 
-import re
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Characters of a chunk; texts of more are giant. Words that a worker remembers.
-CHUNK, REMEMBER = 16384, 200_000
+from .memory import trim
+from .words import buffers, hashes, segments
+
+#: Characters of a chunk; texts of more are giant. Bytes of text that are handled at once. Words that a worker remembers.
+CHUNK, SEGMENT, REMEMBER = 16384, 1 << 20, 300_000
 MARK = "▁"
-UNIT = re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+")
+SPACE = 0x20
 UNKNOWN, BARRIER = -1, -2
 #: An id for a boundary's state where any piece may follow.
 OPEN = (0, BARRIER)
 NONE = -np.inf
+_U = np.uint64
 
 
 def default_model() -> str:
@@ -45,6 +51,45 @@ def default_model() -> str:
     return public_tokenizers.path("piece_bpe_32k.model")
 
 
+class Known:
+    """Words with their ids, found by hash and compared by their bytes; as arrays."""
+
+    def __init__(self):
+        self.hash, self.row = np.empty(0, _U), np.empty(0, np.int64)
+        # of each row: where its bytes and its ids begin, and how many there are
+        self.place, self.size, self.at, self.n = (np.empty(0, np.int64) for _ in range(4))
+        self.data, self.ids = np.empty(0, np.uint8), np.empty(0, np.int32)
+
+    def find(self, hash_: np.ndarray) -> np.ndarray:
+        """The row of each hash, -1 for a new one."""
+        if not len(self.hash):
+            return np.full(len(hash_), -1)
+        i = np.minimum(np.searchsorted(self.hash, hash_), len(self.hash) - 1)
+        return np.where(self.hash[i] == hash_, self.row[i], -1)
+
+    def only(self, rows: np.ndarray) -> Known:
+        """Some of the rows, by hash."""
+        out = Known()
+        rows = self.row[np.isin(self.row, rows)]
+        out.add(self.hash[np.isin(self.row, rows)], self.data[gather(self.place[rows], self.size[rows])], self.size[rows], self.ids[gather(self.at[rows], self.n[rows])], self.n[rows])
+        return out
+
+    def add(self, hash_: np.ndarray, data: np.ndarray, size: np.ndarray, ids: np.ndarray, n: np.ndarray) -> None:
+        """New rows; hash_ ascends."""
+        rows = np.arange(len(hash_)) + len(self.size)
+        i = np.searchsorted(self.hash, hash_)
+        self.hash, self.row = np.insert(self.hash, i, hash_), np.insert(self.row, i, rows)
+        self.place = np.append(self.place, np.cumsum(size) - size + len(self.data))
+        self.at = np.append(self.at, np.cumsum(n) - n + len(self.ids))
+        self.size, self.n, self.data, self.ids = np.append(self.size, size), np.append(self.n, n), np.append(self.data, data), np.append(self.ids, ids)
+
+
+def gather(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The positions of ranges, one after the other."""
+    to = np.cumsum(sizes) - sizes
+    return np.repeat(starts - to, sizes) + np.arange(int(sizes.sum()))
+
+
 class Pieces:
     """A BPE model with byte fallback whose pieces don't cross a word's beginning."""
 
@@ -56,11 +101,19 @@ class Pieces:
         self.name = {i: p for p, i in self.id.items()}
         self.score = {p: sp.get_score(i) for p, i in self.id.items()}
         self.longest = max(map(len, self.id))
+        spelled = [b"" for _ in range(sp.get_piece_size())]
+        for i in range(len(spelled)):
+            spelled[i] = bytes([int(sp.id_to_piece(i)[3:-1], 16)]) if sp.is_byte(i) else self.name[i].replace(MARK, " ").encode() if i in self.name else b""
+        #: Bytes of all pieces, and where those of each begin; whether a piece begins with a mark, and whether its bytes are its own.
+        self.spelled, self.sizes = np.frombuffer(b"".join(spelled), np.uint8), np.array(list(map(len, spelled)))
+        self.places = np.cumsum(self.sizes) - self.sizes
+        self.marked_ = np.array([self.name.get(i, "").startswith(MARK) for i in range(len(spelled))])
+        self.plain = np.array([len(x) > 0 for x in spelled])
         if any(sp.is_unused(i) for i in usual) or any(MARK in p.lstrip(MARK) for p in self.id) or any(c not in self.id for p in self.id for c in p):
             raise ValueError("a model of another kind")
         if sp.encode("a  b ", out_type=str)[:1] != [sp.encode("a", out_type=str)[0]] or sp.encode("Ａ")[-1:] == sp.encode("A")[-1:]:
             raise ValueError("a model that changes the text")
-        self.memory: dict[str, list[int]] = {}
+        self.known = Known()
         self.fits = lru_cache(1 << 18)(self._fits)
 
     @staticmethod
@@ -68,34 +121,78 @@ class Pieces:
         """The text as the model sees it."""
         return MARK + text.replace(" ", MARK) if text else ""
 
-    def _words(self, units: list[str]) -> None:
-        """Learns the ids of words."""
-        if len(self.memory) + len(units) > REMEMBER:
-            self.memory.clear()
-        for u, ids in zip(units, self.sp.encode([u[1:].replace(MARK, " ") for u in units], num_threads=1)):
-            self.memory[u] = ids if u != MARK else [self.id[MARK]]
-
-    def units(self, marked: list[str]) -> list[list[int]]:
-        """Ids of texts that begin with a mark, each word by itself."""
-        split = [UNIT.findall(t) for t in marked]
-        out, i = [], 0
-        while i < len(split):
-            new: dict[str, None] = {}
-            j = i
-            while j < len(split) and (j == i or len(new) < REMEMBER // 4):
-                new.update(dict.fromkeys(u for u in split[j] if u not in self.memory))
-                j += 1
-            if new:
-                self._words(list(new))
-                if any(u not in self.memory for t in split[i:j] for u in t):  # what was remembered has gone
-                    self._words(list(dict.fromkeys(u for t in split[i:j] for u in t if u not in self.memory)))
-            for t in split[i:j]:
-                ids: list[int] = []
-                for u in t:
-                    ids += self.memory[u]
-                out.append(ids)
-            i = j
-        return out
+    def encode(self, offsets: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of texts, and how many each has; the texts are given by offsets into their bytes and hold no mark."""
+        n, ids = [np.empty(0, np.int64)], [np.empty(0, np.int32)]
+        for i, j in segments(offsets, SEGMENT):
+            for part, of in zip((n, ids), self._segment(offsets[i : j + 1] - offsets[i], data[offsets[i] : offsets[j]])):
+                part.append(of)
+        return np.concatenate(n), np.concatenate(ids)
+
+    def _segment(self, offsets: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        full = np.flatnonzero(offsets[1:] > offsets[:-1])
+        heads = offsets[:-1][full]
+        if not len(full):
+            return np.zeros(len(offsets) - 1, np.int64), np.empty(0, np.int32)
+        # a space before each text, as the model sees it
+        spaced = np.insert(data, heads, SPACE)
+        heads = heads + np.arange(len(heads))
+        blank = spaced == SPACE
+        first = blank.copy()
+        first[1:] &= ~blank[:-1]
+        first[heads] = True
+        start = np.flatnonzero(first)
+        end = np.append(start[1:], len(spaced))
+        size = end - start
+        found, rep, which = np.unique(hashes(spaced, start, end), return_index=True, return_inverse=True)
+        row = self.known.find(found)
+        new = rep[row < 0]
+        if len(self.known.size) + len(new) > REMEMBER:  # those of this text are likely to come again
+            self.known = self.known.only(row[row >= 0])
+        if len(new):
+            self.known.add(found[row < 0], spaced[gather(start[new], size[new])], size[new], *self._words(spaced, start[new], end[new]))
+        row = self.known.find(found)[which]
+        if (self.known.size[row] != size).any() or (self.known.data[gather(self.known.place[row], size)] != spaced).any():
+            ids, n = self._words(spaced, start, end)  # two words of one hash: each by itself
+        else:
+            n = self.known.n[row]
+            ids = self.known.ids[gather(self.known.at[row], n)]
+        text = np.searchsorted(heads, start, "right") - 1
+        per = np.zeros(len(offsets) - 1, np.int64)
+        per[full] = np.bincount(text, weights=n, minlength=len(full)).astype(np.int64)
+        return per, ids
+
+    def _words(self, data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of words by the library, and how many each has."""
+        raw = data.tobytes()
+        # the library puts the first space itself; a word of one space is empty without it
+        ids = self.sp.encode([raw[a + 1 : b].decode() for a, b in zip(start.tolist(), end.tolist())], num_threads=1)
+        for k in np.flatnonzero(end - start == 1):
+            ids[k] = [self.id[MARK]]
+        n = np.fromiter(map(len, ids), np.int64, len(ids))
+        return np.fromiter(chain.from_iterable(ids), np.int32, int(n.sum())), n
+
+    def units(self, marked: list[str]) -> list[np.ndarray]:
+        """Ids of strings that are empty or begin with a mark and a word."""
+        texts = [x[1:].replace(MARK, " ").encode() for x in marked]
+        n, ids = self.encode(np.cumsum([0, *map(len, texts)]), np.frombuffer(b"".join(texts), np.uint8))
+        out = np.split(ids, np.cumsum(n)[:-1])
+        return [np.array([self.id[MARK]], np.int32) if x == MARK else y for x, y in zip(marked, out)]
+
+    def decode(self, offsets: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Bytes of the texts of lists of plain ids, and how many each has."""
+        n = self.sizes[ids]
+        to = np.cumsum(n) - n
+        data = self.spelled[gather(self.places[ids], n)]
+        ends = np.append(to, len(data))
+        per = ends[offsets[1:]] - ends[offsets[:-1]]
+        # the space that the library puts before a text goes again
+        full = np.flatnonzero(offsets[1:] > offsets[:-1])
+        lead = full[self.marked_[ids[offsets[:-1][full]]]]
+        keep = np.ones(len(data), bool)
+        keep[ends[offsets[:-1][lead]]] = False
+        per[lead] -= 1
+        return data[keep], per
 
     def merged(self, text: str) -> list[str]:
         """The pieces of a short string: neighbours are merged, the best score first and the leftmost of equal ones."""
@@ -196,19 +293,17 @@ class Pieces:
             end = b
         return out[::-1]
 
-    def trace(self, s: str, lo: int, hi: int, enter: tuple[int, int], leave: tuple[int, int]) -> list[int]:
-        """The ids of a chunk: of the pieces that begin in it, given the states of its boundaries."""
+    def trace(self, s: str, lo: int, hi: int, enter: tuple[int, int], leave: tuple[int, int]) -> tuple[list[int], str, list[int]]:
+        """The ids of a chunk, of the pieces that begin in it, given the states of its boundaries; between them its whole words, to be encoded."""
         begin, first = lo + enter[0], self.next_start(s, lo, hi)
         end = hi + leave[0]
         if begin >= hi and not (first < hi):
-            return []
+            return [], "", []
         if first == hi and not self.starts(s, hi):
-            return self._trace(s, begin, enter[1], end, hi)
+            return self._trace(s, begin, enter[1], end, hi), "", []
         out = self._trace(s, begin, enter[1], first, first)
         last = self._last_start(s, first, hi)
-        if last > first:
-            out += self.units([s[first:last]])[0]
-        return out + self._trace(s, last, BARRIER, end, hi) if last < hi else out
+        return out, s[first:last], self._trace(s, last, BARRIER, end, hi) if last < hi else []
 
 
 def product(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -270,11 +365,13 @@ def encode_pieces(docs: DataFrame, id_: str = "doc_id", text: str = "text", mode
         for batch in batches:
             for at in range(0, batch.num_rows, 1024):
                 b = batch.slice(at, 1024)
-                texts = b.column("__text").to_pylist()
-                ids = m.units([m.marked(t or "") for t in texts])
-                n = pa.array(list(map(len, ids)), pa.int64())
-                out = [b.column("doc_id"), n, pa.array([int(t is not None) for t in texts], pa.int32()), pa.array([i if t is not None else None for i, t in zip(ids, texts)], pa.list_(pa.int32()))]
+                texts = b.column("__text")
+                n, ids = m.encode(*buffers(pc.replace_substring(texts, MARK, " ")))
+                null = pc.is_null(texts)
+                found = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(n)), pa.int32()), pa.array(ids, pa.int32()), mask=null)
+                out = [b.column("doc_id"), pa.array(n, pa.int64()), pc.invert(null).cast(pa.int32()), found]
                 yield pa.RecordBatch.from_arrays([*out, *(b.column(k) for k in kept)], names=[*result, *kept])
+        trim()
 
     small = rows.where(~giant).mapInArrow(whole, "doc_id long, n_tokens long, n_chunks int, ids array<int>" + tail)
 
@@ -322,9 +419,13 @@ def encode_pieces(docs: DataFrame, id_: str = "doc_id", text: str = "text", mode
     def traces(batches):
         m = load(path)
         for batch in batches:
-            for r in batch.to_pylist():
-                ids = m.trace(r["body"], *bounds(m, r["i"], r["n"], r["lo"], r["body"]), tuple(r["enter"]), tuple(r["leave"]))
-                yield pa.RecordBatch.from_arrays([pa.array([r["key"]], pa.int64()), pa.array([r["digest"]], pa.binary()), pa.array([r["i"]], pa.int32()), pa.array([ids], pa.list_(pa.int32()))], names=["key", "digest", "i", "ids"])
+            for at in range(0, batch.num_rows, 64):
+                rows = batch.slice(at, 64).to_pylist()
+                found = [m.trace(r["body"], *bounds(m, r["i"], r["n"], r["lo"], r["body"]), tuple(r["enter"]), tuple(r["leave"])) for r in rows]
+                ids = [np.concatenate([a, mid, b]).astype(np.int32) for (a, _, b), mid in zip(found, m.units([x for _, x, _ in found]))]
+                lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, ids)]), pa.int32()), pa.array(np.concatenate(ids), pa.int32()))
+                yield pa.RecordBatch.from_arrays([pa.array([r["key"] for r in rows], pa.int64()), pa.array([r["digest"] for r in rows], pa.binary()), pa.array([r["i"] for r in rows], pa.int32()), lists], names=["key", "digest", "i", "ids"])
+        trim()
 
     traced = chunks.join(way, ["key", "digest", "i"]).select("key", "digest", "i", "n", "lo", "body", "enter", "leave").mapInArrow(traces, "key long, digest binary, i int, ids array<int>")
     traced = traced.groupBy("key", "digest").agg(F.sort_array(F.collect_list(F.struct("i", "ids"))).alias("c"))
@@ -342,20 +443,39 @@ def hash_of(text: str) -> bytes:
 
 
 def decode_pieces(encoded: DataFrame, ids: str = "ids", model: str | None = None) -> DataFrame:
-    """encoded with text, the decoded ids; null ids give a null text."""
+    """encoded with text, the decoded ids, as the library decodes them.
+
+    Null ids give a null text, no ids an empty one. A column text of encoded is replaced;
+    rows that repeat are decoded each by itself, and an empty table gives an empty table.
+    """
     path = model or default_model()
     names = [c for c in encoded.columns if c != "text"]
     kept = [f"__c{i}" for i in range(len(names))]
-    rows = encoded.select(*(F.col(f"`{c}`").alias(k) for c, k in zip(names, kept)), F.col(ids).alias("__ids"))
+    rows = encoded.select(*(F.col(f"`{c}`").alias(k) for c, k in zip(names, kept)), F.col(ids).cast("array<int>").alias("__ids"))
+
+    def texts(m: Pieces, lists: pa.ListArray) -> pa.Array:
+        null = pc.is_null(lists)
+        offsets = np.append(0, np.cumsum(pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False))).astype(np.int64)
+        flat = pc.fill_null(lists.flatten(), 0).to_numpy(zero_copy_only=False)
+        if m.plain[flat].all():
+            data, n = m.decode(offsets, flat)
+            at = np.append(0, np.cumsum(n)).astype(np.int64)
+            valid = pa.py_buffer(np.packbits(~null.to_numpy(zero_copy_only=False), bitorder="little").tobytes())
+            out = pa.LargeStringArray.from_buffers(len(lists), pa.py_buffer(at.tobytes()), pa.py_buffer(data.tobytes()), valid).cast(pa.string())
+            try:
+                out.validate(full=True)
+                return out
+            except pa.ArrowInvalid:  # bytes that aren't UTF-8
+                pass
+        return pa.array([None if x is None else m.sp.decode(x) for x in lists.to_pylist()], pa.string())
 
     def run(batches):
         m = load(path)
         for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                b = batch.slice(at, 512)
-                lists = b.column("__ids").to_pylist()
-                texts = m.sp.decode([x or [] for x in lists], num_threads=1) if lists else []
-                yield pa.RecordBatch.from_arrays([*(b.column(k) for k in kept), pa.array([t if x is not None else None for t, x in zip(texts, lists)], pa.string())], names=[*kept, "text"])
+            for at in range(0, batch.num_rows, 256):
+                b = batch.slice(at, 256)
+                yield pa.RecordBatch.from_arrays([*(b.column(k) for k in kept), texts(m, b.column("__ids"))], names=[*kept, "text"])
+        trim()
 
     types = dict(rows.dtypes)
     out = rows.mapInArrow(run, ", ".join(f"{k} {types[k]}" for k in kept) + ", text string")
