@@ -10,150 +10,171 @@ length doesn't depend on what was scored before it, and every context's
 probabilities sum to 1. The language with the least code length wins.
 
 Frozen statistics make the code length of a byte a function of its context's node, so
-training ends in tables: a child of each node by byte, from the nearest byte back,
-and the bits of each byte at each node, one number for each language. All trees
-share their nodes: where a language doesn't know a context it uses its own longest
-known one. Scoring a text is one pass of array lookups over its bytes.
+training ends in two tables a language: the node of the longest known context by the
+bytes before, and the bits of each byte at each node. Scoring a text is one pass of
+array lookups over its bytes for each language.
+
+Each language's tree is grown by a task of its own and written to the shared folder;
+workers read it there. Neither texts nor tables pass through the driver.
 """
 
 from __future__ import annotations
 
-from collections import Counter
+import hashlib
+import io
+import uuid
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import files
+from .lineage import checkpoint_dir, cut
+from .memory import trim
 from .words import buffers, segments
 
 #: Training rows for each language, at most; bytes of a training row's text at most, longer ones being taken as far as that; contexts' length.
 ROWS, ROW_BYTES, ORDER = 400, 16384, 3
 #: A language with fewer sampled rows within the limit takes longer ones as well.
 FEW = 20
+#: Languages x ranges of the sample up to which it's broadcast.
+BROADCAST_ROWS = 100_000
+SEPARATOR = 0xFF
 
 
-def _sample(usable: DataFrame, rows: int) -> DataFrame:
-    """Of each language the row of least hash in each of ``rows`` ranges of hashes."""
-    usable = usable.withColumn("h", F.xxhash64("text")).withColumn("range", F.pmod(F.xxhash64("h"), F.lit(rows)))
-    least = usable.groupBy("lang", "range").agg(F.min("h").alias("h"))
-    found = usable.join(F.broadcast(least), ["lang", "range", "h"])  # languages x ranges rows
-    one = Window.partitionBy("lang", "range").orderBy("text")
-    return found.dropDuplicates(["lang", "range", "h"]).withColumn("r", F.row_number().over(one)).where("r = 1").select("lang", "text")
-
-
-def training_rows(docs: DataFrame, rows: int = ROWS, row_bytes: int = ROW_BYTES) -> list[tuple[str, bytes]]:
+def training_rows(docs: DataFrame, rows: int = ROWS, row_bytes: int = ROW_BYTES) -> DataFrame:
     """(lang, text): of each language the rows of least hash in each of ``rows`` ranges of hashes.
 
     A bounded sample of labelled rows, whole texts, that needs no sort of a language's
-    rows: one aggregation with a bounded state for each language and range. A language
-    with fewer than FEW of them (all languages are asked for, also those without one)
-    takes the beginnings of at most FEW longer rows too, of row_bytes each.
+    rows: one aggregation with a bounded state for each language and range, and one
+    look at the texts. A language with fewer than FEW of them (all languages are asked
+    for, also those without one) takes the beginnings of at most FEW longer rows too, of
+    row_bytes characters each.
     """
-    size = F.octet_length("text")
-    labelled = docs.where(F.col("lang").isNotNull() & (size > 0))
-    out = [(r["lang"], r["text"].encode()) for r in _sample(labelled.where(size <= row_bytes), rows).collect()]
-    enough = [k for k, n in Counter(k for k, _ in out).items() if n >= min(FEW, rows)]
-    longer = labelled.where((size > row_bytes) & ~F.col("lang").isin(enough))
-    # as many characters have at least as many bytes
-    longer = longer.select("lang", F.substring("text", 1, row_bytes).alias("text"))
-    return out + [(r["lang"], r["text"].encode()[:row_bytes].decode(errors="ignore").encode()) for r in _sample(longer, min(FEW, rows)).collect()]
+    few, long_ = min(FEW, rows), F.octet_length("text") > row_bytes
+    h = F.xxhash64("text")
+    labelled = docs.where(F.col("lang").isNotNull() & (F.octet_length("text") > 0)).select("lang", "text", long_.alias("long"), h.alias("h"))
+    labelled = labelled.withColumn("range", F.pmod(F.xxhash64("h"), F.when(F.col("long"), few).otherwise(rows)))
+    key = ["lang", "long", "range"]
+    least = cut(labelled.groupBy(*key).agg(F.min("h").alias("h")))
+    enough = least.where("not long").groupBy("lang").count().where(F.col("count") >= few).select("lang")
+    wanted = cut(least.where("not long").unionByName(least.where("long").join(enough, "lang", "left_anti").select(*least.columns)))
+    if wanted.count() <= BROADCAST_ROWS:
+        wanted = F.broadcast(wanted)
+    found = labelled.join(wanted, [*key, "h"]).select(*key, F.when(F.col("long"), F.substring("text", 1, row_bytes)).otherwise(F.col("text")).alias("text"))
+    one = Window.partitionBy(*key).orderBy("text")
+    return found.dropDuplicates([*key, "text"]).withColumn("r", F.row_number().over(one)).where("r = 1").select("lang", "text")
 
 
-class Model:
-    """Context trees of some languages as tables.
+class Tree:
+    """A language's context tree as tables.
 
-    langs: the languages, ascending. symbol: a number for each byte, 0 for bytes that no
-    training text holds. child: node by node and symbol, 0 for none; node 0 is the
-    empty context. bits: code length by node, symbol and language.
+    symbol: a number for each byte, 0 for bytes that no training text holds; k: how many
+    there are. node: by the symbols of the ``order`` bytes before, the longest known
+    context, where k stands for what is before the text; node 0 is the empty context.
+    bits: code length of a byte by node and symbol. A byte of SEPARATOR, which no UTF-8
+    text holds, stands for what is before a text.
     """
 
-    def __init__(self, texts: dict[str, list[bytes]], order: int = ORDER):
-        self.langs, self.order = sorted(texts), order
+    def __init__(self, texts: list[bytes], order: int = ORDER):
         seen = np.zeros(256, bool)
-        for t in texts.values():
-            for x in t:
-                seen[np.frombuffer(x, np.uint8)] = True
+        for x in texts:
+            seen[np.frombuffer(x, np.uint8)] = True
+        if seen[SEPARATOR]:
+            raise ValueError("not UTF-8")
+        self.order = order
         self.symbol = np.where(seen, np.cumsum(seen), 0).astype(np.int32)
-        k = int(seen.sum()) + 1
+        self.k = k = int(seen.sum()) + 1
+        base = k + 1
         width = np.ones(k)  # bytes that a symbol stands for
         width[0] = 256 - (k - 1)
-        # n-grams of each language, as numbers in base k with the newest byte last
-        grams = [{} for _ in range(order + 1)]
-        contexts: list[set[int]] = [set() for _ in range(order + 1)]
-        for lang, t in texts.items():
-            for n in range(1, order + 2):
-                found = [np.empty(0, np.int64)]
-                for x in t:
-                    s = self.symbol[np.frombuffer(x, np.uint8)].astype(np.int64)
-                    if len(s) >= n:
-                        g = np.zeros(len(s) - n + 1, np.int64)
-                        for i in range(n):
-                            g = g * k + s[i : len(s) - n + 1 + i]
-                        found.append(g)
-                g = np.sort(np.concatenate(found))
-                at = np.flatnonzero(np.concatenate([[True], g[1:] != g[:-1]])) if len(g) else np.empty(0, np.int64)
-                g, c = g[at], np.diff(np.append(at, len(g)))
-                by: dict[int, list[tuple[int, int]]] = grams[n - 1].setdefault(lang, {})
-                for ctx, sym, count in zip((g // k).tolist(), (g % k).tolist(), c.tolist()):
-                    by.setdefault(ctx, []).append((sym, count))
-                contexts[n - 1].update(by)
-        contexts[0].add(0)
-        number = [{c: 0 for c in contexts[0]}]
-        total = 1
-        for n in range(1, order + 1):
-            number.append({c: total + i for i, c in enumerate(sorted(contexts[n]))})
-            total += len(contexts[n])
-        self.child = np.zeros((total, k), np.int32)
-        self.bits = np.empty((total, k, len(self.langs)), np.float32)
-        p = np.empty((total, k, len(self.langs)))  # of one byte of a symbol
+        coded = [self.symbol[np.frombuffer(x, np.uint8)].astype(np.int64) for x in texts]
+        self.node = np.zeros(base**order, np.int32)
+        known, p, total = np.zeros(1, np.int64), np.full((1, k), 1 / 256), 0  # of the contexts that are one byte shorter
+        bits = []
         for n in range(order + 1):
-            for ctx, node in number[n].items():
-                if n:
-                    shorter = number[n - 1][ctx % k ** (n - 1)] if n > 1 else 0
-                    self.child[shorter, ctx // k ** (n - 1)] = node
-                for j, lang in enumerate(self.langs):
-                    base = p[shorter, :, j] if n else np.full(k, 1 / 256)
-                    here = grams[n].get(lang, {}).get(ctx)
-                    if not here:
-                        p[node, :, j] = base
-                        continue
-                    sym, count = np.array(here).T
-                    rest = np.ones(k, bool)
-                    rest[sym] = False
-                    left = float((base * width)[rest].sum())
-                    # nothing to escape to: all of it goes to what was seen
-                    escape = len(sym) if left > 0 else 0
-                    row = np.zeros(k)
-                    row[sym] = count / (count.sum() + escape)
-                    if left > 0:
-                        row[rest] = escape / (count.sum() + escape) * base[rest] / left
-                    p[node, :, j] = row
-        self.bits[:] = -np.log2(np.maximum(p, 1e-300))
+            # n-grams of n + 1 bytes as a context and the byte that follows, numbers in base k + 1 with the newest byte last
+            grams = [np.zeros(max(0, len(s) - n), np.int64) for s in coded]
+            for g, s in zip(grams, coded):
+                for i in range(n + 1):
+                    g *= base
+                    g += s[i : i + len(g)]
+            g, count = np.unique(np.concatenate([*grams, np.empty(0, np.int64)]), return_counts=True)
+            contexts, row = np.unique(g // base, return_inverse=True)
+            if not n and not len(contexts):
+                contexts = np.zeros(1, np.int64)
+            counts = np.zeros((len(contexts), k))
+            counts[row, g % base] = count
+            here = counts > 0
+            shorter = p[np.searchsorted(known, contexts % base ** (n - 1))] if n else np.repeat(p, len(contexts), 0)
+            left = (shorter * width * ~here).sum(1)
+            # nothing to escape to: all of it goes to what was seen
+            escape = np.where(left > 0, here.sum(1), 0)
+            of = np.maximum(counts.sum(1) + escape, 1)
+            spare = np.where(left > 0, escape / of / np.where(left > 0, left, 1), 0)
+            spare[~here.any(1)] = 1.0
+            p = np.where(here, counts / of[:, None], shorter * spare[:, None])
+            known = contexts
+            bits.append(-np.log2(np.maximum(p, 1e-300)).astype(np.float32))
+            if n:
+                self.node.reshape(-1, base**n)[:, contexts] = (total + np.arange(len(contexts))).astype(np.int32)
+            total += len(contexts)
+        # beyond the last node is what a separator after a text would get
+        self.bits = np.append(np.concatenate(bits).reshape(-1), np.zeros(1, np.float32))
+        self.symbol[SEPARATOR] = k
+
+    def lengths(self, data: np.ndarray, begins: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """Code length in bits of each of the texts in data, none empty, with ``order`` separators before each."""
+        s, n = self.symbol[data], self.order
+        at = s[: len(s) - n].copy() if n else np.zeros(len(s), np.int32)
+        for i in range(1, n):
+            at *= self.k + 1
+            at += s[i : len(s) - n + i]
+        at = self.node[at]
+        at *= self.k
+        at += s[n:]
+        # 64-bit sums over slices of a bounded length
+        cost = np.append(self.bits[at], np.float32(0)).astype(np.float64)
+        return np.add.reduceat(cost, np.stack([begins - n, ends - n], 1).ravel())[::2]
+
+    def saved(self) -> bytes:
+        out = io.BytesIO()
+        np.savez(out, order=self.order, k=self.k, symbol=self.symbol, node=self.node, bits=self.bits)
+        return out.getvalue()
+
+    @classmethod
+    def loaded(cls, data: bytes) -> Tree:
+        tree, of = cls.__new__(cls), np.load(io.BytesIO(data))
+        tree.order, tree.k, tree.symbol, tree.node, tree.bits = int(of["order"]), int(of["k"]), of["symbol"], of["node"], of["bits"]
+        return tree
+
+
+class Model:
+    """Context trees of some languages. langs: the languages, ascending."""
+
+    def __init__(self, trees: dict[str, Tree]):
+        self.langs = sorted(trees)
+        self.trees = [trees[k] for k in self.langs]
+
+    @classmethod
+    def of(cls, texts: dict[str, list[bytes]], order: int = ORDER) -> Model:
+        return cls({k: Tree(t, order) for k, t in texts.items()})
 
     def lengths(self, offsets: np.ndarray, data: np.ndarray) -> np.ndarray:
         """Code length in bits of each text by language."""
         out = np.zeros((len(offsets) - 1, len(self.langs)))
-        k, child = self.child.shape[1], self.child.reshape(-1)
-        bits = self.bits.reshape(-1, len(self.langs))
         for i, j in segments(offsets, 1 << 19):
             at = offsets[i : j + 1] - offsets[i]
-            s = self.symbol[data[offsets[i] : offsets[j]]]
-            if not len(s):
-                continue
-            since = np.arange(len(s)) - np.repeat(at[:-1], np.diff(at))
-            node = np.zeros(len(s), np.int32)
-            alive = np.ones(len(s), bool)
-            for n in range(1, self.order + 1):
-                before = np.zeros(len(s), np.int32)
-                before[n:] = s[:-n]
-                down = child[node * k + before]
-                alive &= (down > 0) & (since >= n)
-                node = np.where(alive, down, node)
             full = np.flatnonzero(np.diff(at) > 0)
-            # 64-bit sums over slices of a bounded length
-            sums = np.add.reduceat(bits[node * k + s].astype(np.float64), at[:-1][full], axis=0)
-            out[i:j][full] = sums
+            if not len(full):
+                continue
+            order = self.trees[0].order
+            shift = order * (1 + np.arange(len(full)))
+            spaced = np.insert(data[offsets[i] : offsets[j]], np.repeat(at[:-1][full], order), SEPARATOR)
+            for n, tree in enumerate(self.trees):
+                out[i + full, n] = tree.lengths(spaced, at[:-1][full] + shift, at[1:][full] + shift)
         return out
 
 
@@ -164,12 +185,32 @@ def predict(lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return best, 1 / np.exp2(-np.minimum(gap, 1000)).sum(1)
 
 
-def train(docs: DataFrame, order: int = ORDER, rows: int = ROWS, row_bytes: int = ROW_BYTES) -> Model:
-    """docs: columns lang and text. The sample that comes to the driver is bounded by rows, row_bytes and the number of languages."""
-    texts: dict[str, list[bytes]] = {}
-    for k, text in training_rows(docs, rows, row_bytes):
-        texts.setdefault(k, []).append(text)
-    return Model({k: sorted(v) for k, v in texts.items()}, order)
+def train(docs: DataFrame, order: int = ORDER, rows: int = ROWS, row_bytes: int = ROW_BYTES) -> tuple[str, tuple[str, ...]]:
+    """A folder with a tree for each language, and the languages. docs: columns lang and text.
+
+    A language is one task, whose sample is bounded by rows and row_bytes, and so is its
+    tree. The driver gets the languages' names. A task that runs twice writes the same again.
+    """
+    folder = f"{checkpoint_dir(docs.sparkSession).rstrip('/')}/ppm-{uuid.uuid4().hex}"
+
+    def grow(table: pa.Table) -> pa.Table:
+        lang = table.column("lang")[0].as_py()
+        # as many characters may have more bytes
+        texts = [x.as_py().encode()[:row_bytes].decode(errors="ignore").encode() for x in table.column("text")]
+        files.write(folder, _file(lang), Tree(texts, order).saved())
+        return pa.table({"lang": pa.array([lang], pa.string())})
+
+    found = training_rows(docs, rows, row_bytes).groupBy("lang").applyInArrow(grow, "lang string").collect()
+    return folder, tuple(sorted(r["lang"] for r in found))
+
+
+def _file(lang: str) -> str:
+    return hashlib.md5(lang.encode()).hexdigest() + ".npz"
+
+
+@lru_cache(1)
+def load(folder: str, langs: tuple[str, ...]) -> Model:
+    return Model({k: Tree.loaded(files.read(folder, _file(k))) for k in langs})
 
 
 def language_id(docs: DataFrame, id_: str = "doc_id", text: str = "text", lang: str = "lang", folds: int = 4, fold: int = 2, carry: tuple[str, ...] = (), order: int = ORDER, rows: int = ROWS, row_bytes: int = ROW_BYTES) -> DataFrame:
@@ -188,15 +229,14 @@ def language_id(docs: DataFrame, id_: str = "doc_id", text: str = "text", lang:
     carry = tuple(c for c in carry if c not in result)
     kept = [f"__carry{i}" for i in range(len(carry))]
     held = F.crc32(F.coalesce(F.col(id_).cast("string"), F.lit(""))) % folds == fold
-    model = train(docs.where(~held).select(F.col(lang).cast("string").alias("lang"), F.col(text).cast("string").alias("text")), order, rows, row_bytes)
+    folder, langs = train(docs.where(~held).select(F.col(lang).cast("string").alias("lang"), F.col(text).cast("string").alias("text")), order, rows, row_bytes)
     named = docs.select(
         F.col(id_).cast("long").alias("doc_id"), held.alias("held_out"), F.col(text).cast("string").alias("__text"),
         F.coalesce(F.col(text).rlike(r"\p{L}"), F.lit(False)).alias("__letter"), *(F.col(f"`{c}`").alias(k) for c, k in zip(carry, kept)),
     )
-    shared = named.sparkSession.sparkContext.broadcast(model)  # as bounded as the sample
 
     def run(batches):
-        m = shared.value
+        m = load(folder, langs)
         for batch in batches:
             offsets, data = buffers(batch.column("__text"))
             letter = np.asarray(batch.column("__letter").to_pylist(), bool)
@@ -210,6 +250,7 @@ def language_id(docs: DataFrame, id_: str = "doc_id", text: str = "text", lang:
             names = np.array([*m.langs, "und"], object)[np.where(letter, best, len(m.langs))]
             cols = [batch.column("doc_id"), batch.column("held_out"), pa.array(names.tolist(), pa.string()), pa.array(np.where(letter, score, 0.0)), pa.array(per, mask=~letter)]
             yield pa.RecordBatch.from_arrays([*cols, *(batch.column(k) for k in kept)], names=[*result, *kept])
+        trim()
 
     types = dict(named.dtypes)
     schema = "doc_id long, held_out boolean, lang_pred string, score double, bits_per_byte double" + "".join(f", {k} {types[k]}" for k in kept)
