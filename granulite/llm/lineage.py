@@ -2,15 +2,21 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir, or for a session without it (tests) a folder made once."""
+    """spark.checkpoint.dir, or for a local session without it (tests) a folder made once.
+
+    On a cluster it must be set: a folder of the driver's machine is no place that executors share.
+    """
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not named:
+        if not re.fullmatch(r"local(\[[^,\]]*(,[^\]]*)?\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         named = tempfile.mkdtemp(prefix="checkpoints-")
         spark.sparkContext.setCheckpointDir(named)
     elif not spark.sparkContext.getCheckpointDir():

@@ -39,6 +39,8 @@ from .words import mix, windows, words
 _U = np.uint64
 #: Work of verifying a pair, in steps through a prefix's list; longest l tried; hubs that each class is verified against.
 VERIFY_COST, LONGEST, HUBS = 16, 8, 2
+#: Classes of a prefix's list that a task pairs with the whole list at once.
+LIST = 256
 
 
 def shingles(texts: pa.ChunkedArray, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -112,13 +114,13 @@ def _records(ids: pa.ChunkedArray, n_texts: int, doc: np.ndarray, h: np.ndarray,
 
 def records(docs: DataFrame, id_: str, text: str, n: int, percent: int, block_bytes: int) -> DataFrame:
     """A row for each document: set size, hash of the set, and shared shingles from rare to frequent where it may link."""
-    sizes: Sizes = measure(docs, text, block_bytes, bits=FILTER_BITS)
-    dealt = deal(docs.select(F.col(id_).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")), "doc_id", sizes)
+    sizes: Sizes = measure(docs, text, block_bytes, FILTER_BITS)
+    dealt = deal(docs.select(F.col(id_).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")), "doc_id", "text", sizes)
 
     def keys(table: pa.Table):
         _, h = shingles(table.column("text"), n)
         k, count, _ = tally(short(h, FILTER_BITS), np.zeros(len(h), bool))
-        return k, [count.astype(_U)]
+        return [(k, [count.astype(_U)])]
 
     def reply(k, _, values):
         order, at, count = groups(k)
@@ -189,11 +191,13 @@ def ngram_jaccard_join(docs: DataFrame, id_: str = "doc_id", text: str = "text",
 
     # of each list: its largest component so far, and the classes outside it
     most = lists.groupBy("token", "label").agg(F.count(F.lit(1)).alias("c")).groupBy("token")
-    most = most.agg(F.max(F.struct("c", "label")).alias("m"), F.count(F.lit(1)).alias("k")).where("k > 1").select("token", F.col("m.label").alias("main"))
+    most = most.agg(F.max(F.struct("c", "label")).alias("m"), F.count(F.lit(1)).alias("k"), F.sum("c").alias("n")).where("k > 1")
+    most = most.select("token", F.col("m.label").alias("main"), F.ceil(F.col("n") / LIST).alias("slices"))
     apart = cut(lists.join(most, "token"))
-    x = _side(apart.where("label <> main"), "a", F.col("label").alias("label_a"))
-    y = _side(apart, "b", F.col("label").alias("label_b"), "main")
-    pairs = x.join(y, "token").where("label_a <> label_b and (label_b = main or a < b)").where(_fits(percent))
+    # a long list is split: each slice of it meets the list in a task of its own
+    x = _side(apart.where("label <> main"), "a", F.col("label").alias("label_a"), F.pmod(F.xxhash64("node"), F.col("slices")).alias("slice"))
+    y = _side(apart, "b", F.col("label").alias("label_b"), "main", F.explode(F.sequence(F.lit(0).cast("long"), F.col("slices") - 1)).alias("slice"))
+    pairs = x.join(y, ["token", "slice"]).where("label_a <> label_b and (label_b = main or a < b)").where(_fits(percent))
     # a pair may stand once either way round, by which component is the main one of a list
     pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.least("need_a", "need_b").alias("need"))
     pairs = pairs.groupBy("a", "b").agg(F.count(F.lit(1)).alias("c"), F.first("need").alias("need")).where("c >= need")

@@ -13,7 +13,7 @@ Both comparisons go through :mod:`.blocks`. Each distinct run of a block of text
 is sent once and each repeat is held against the earliest place only, never against
 all others, so copies of a passage cost in proportion to their number. Runs are
 compared by hashes: an anchor by 46 bits (a false one costs time only), a window by
-46 + 50 bits.
+46 + 50 bits (equality of runs is equality of these hashes).
 """
 
 from __future__ import annotations
@@ -133,15 +133,15 @@ def substring_dedup(docs: DataFrame, id_: str = "doc_id", text: str = "text", wi
     size = window // 2
     result = ["doc_id", "n_words", "n_removed", "kept_text", "removed_spans"]
     carry = tuple(c for c in carry if c not in result)
-    sizes = measure(docs, text, block_bytes, bits=FILTER_BITS)
+    sizes = measure(docs, text, block_bytes, FILTER_BITS)
     kept = [f"__carry{i}" for i in range(len(carry))]
     named = docs.select(F.coalesce(F.col(id_).cast("long"), F.lit(NULL_ID)).alias("doc_id"), F.col(text).cast("string").alias("text"), *(F.col(f"`{c}`").alias(k) for c, k in zip(carry, kept)))
-    dealt = deal(named, "doc_id", sizes)
+    dealt = deal(named, "doc_id", "text", sizes)
 
     def keys(table: pa.Table):
         k, aligned = _anchor_keys(table, size)
         k, count, n_aligned = tally(k, aligned)
-        return k, [(n_aligned > 0).astype(_U) + _U(2) * (count > 1).astype(_U)]
+        return [(k, [(n_aligned > 0).astype(_U) + _U(2) * (count > 1).astype(_U)])]
 
     def reply(k, _, values):
         order, at, count = groups(k)
@@ -158,7 +158,7 @@ def substring_dedup(docs: DataFrame, id_: str = "doc_id", text: str = "text", wi
         ids = table.column("doc_id").to_numpy()[doc]
         order, at, _ = _by_window(k, second, ids, start)
         first = order[at]
-        return k[first], [second[first], _zigzag(ids[first]), start[first].astype(_U)], np.packbits(hits).tobytes()
+        return [(k[first], [second[first], _zigzag(ids[first]), start[first].astype(_U)])], np.packbits(hits).tobytes()
 
     def earliest(k, _, values):
         second, ids, start = values
@@ -208,7 +208,7 @@ def substring_dedup(docs: DataFrame, id_: str = "doc_id", text: str = "text", wi
         return pa.table(out | {c: table.column(c) for c in kept})
 
     answered = answer(send(dealt, keys, sizes), reply, sizes)
-    answered = answer(send_again(dealt, answered, again, sizes), earliest, sizes)
+    answered = answer(send_again(dealt, answered, again, sizes, sizes), earliest, sizes)
     types = dict(named.dtypes)
     schema = "doc_id long, n_words long, n_removed long, kept_text string, removed_spans array<struct<first: int, end: int>>" + "".join(f", {k} {types[k]}" for k in kept)
     out = finish(dealt, answered, end, schema, sizes, noted=True)

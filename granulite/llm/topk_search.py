@@ -1,20 +1,25 @@
 """Exact top-k inner products by no-random-access aggregation (NRA).
 
-Each dimension of a block of vectors is a list sorted by value, with ids. For a query
-q a list is read from its top where q_j > 0 and from its bottom where q_j < 0, so
-contributions q_j x_j fall as it's read. After a depth of r entries of each list, a
-vector's score is known between two bounds: entries read count as they are, and an
-unread one lies between the last value read from its list and the list's other end.
-When the k-th largest lower bound is above the upper bound of all others, no outsider
-can qualify; the few that are left are read on until their scores are final. Lists
-are only read in order; no vector is looked up by id before the end.
-
-An entry of list j is read exactly if its value is beyond the last value read, t_j.
-So the upper bound of a vector's entry is max(x_j, t_j) read from the top, and
-min(x_j, t_j) from the bottom, which turns the bounds of all queries of a block
-against all vectors of a block into four matrix products for each depth.
-
-Queries and candidates are both cut into blocks and every pair of blocks is one row
+Each dimension of a block of vectors is a list of (value, vector), sorted. A query q
+reads the lists from their tops where q_j > 0 and from their bottoms where q_j < 0, so
+that contributions q_j x_j fall as it reads; where q_j = 0 it reads nothing. Reading
+goes on in rounds, each as deep again into what is left of every list. Of a vector that
+was met in some lists the sum of what was read is known, and each list that it wasn't
+met in yet gives it at most the contribution last read there and at least that of the
+list's far end. That makes a lower and an upper bound for every vector, met or not.
+
+Vectors whose upper bound is below the k-th largest lower bound cannot qualify, and
+what is read of them later is passed over. A query ends when the bounds of all vectors
+that are left have met: their scores are final then. Lists are only read in order; no
+vector is looked up.
+
+Queries of a block read equally deep, so which lists have shown which vectors is the same
+for all that read from the same end. While most vectors are left, what a round reads
+(a matrix of the entries read, by vector) and what is unread (the incidence of lists that
+haven't shown a vector) are therefore held against all queries of a block at once, as
+products; later only the entries of vectors that are left are added.
+
+Queries and candidates are both cut into blocks, and every pair of blocks is one row
 of work with at most k results for each query, so neither side is ever in one place.
 """
 
@@ -25,43 +30,102 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Rows of a block of candidates and of queries; parts of a list that are read before bounds are compared, as long as a query is open.
-CANDIDATES, QUERIES, DEPTHS = 8192, 512, (0.5, 0.625, 0.75, 0.8125, 0.875, 0.90625, 0.9375, 0.96875)
-#: A query is open while more than this part of the vectors, and more than 4 k, may be among its best.
-OPEN = 1 / 64
+#: Rows of a block of candidates and of queries; part of what is left of the lists that a round reads.
+CANDIDATES, QUERIES, PART = 8192, 256, 0.5
+#: Part of a block's vectors below which those that are left are followed one by one.
+FEW = 1 / 16
+#: Tasks that pairs of blocks are dealt to at least, if there are as many; blocks of queries that share a copy of a block of candidates at most; tasks at most.
+SPREAD, SHARE, TASKS = 256, 16, 20_000
+#: Lengths of vectors up to which their counts are broadcast.
+LENGTHS = 10_000
 
 
-def nra(q: np.ndarray, x: np.ndarray, k: int, own: np.ndarray | None = None, depths=DEPTHS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(query, vector, score) of at least the k best vectors of each query, ties at the last place included.
+class Lists:
+    """The lists of a block of vectors: of each dimension the values and the vectors' numbers, ascending by value."""
 
-    q, x: matrices of integers as float64. own: pairs (query, vector) as a boolean
-    matrix that take no part.
+    def __init__(self, x: np.ndarray):
+        self.n, self.d = x.shape
+        self.vectors = np.ascontiguousarray(np.argsort(x, axis=0, kind="stable").T)
+        self.values = np.ascontiguousarray(np.take_along_axis(x.T, self.vectors, 1))
+
+
+def nra(q: np.ndarray, lists: Lists, k: int, own: np.ndarray | None = None, part: float = PART) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(query, vector, score) of at least the k best vectors of each query, ties at the last place included, and entries read for each query.
+
+    q: a matrix of integers as float64. own: pairs (query, vector) as a boolean matrix
+    that take no part.
     """
-    n = len(x)
-    lists = np.sort(x, axis=0)  # ascending; the top of a list is its end
-    up, down = np.maximum(q, 0), np.minimum(q, 0)
+    n, d = lists.n, lists.d
+    read = np.zeros(len(q), np.int64)
+    out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    if not n or not len(q):
+        return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0), read
+    weight = np.concatenate([np.maximum(q, 0), np.minimum(q, 0)], 1)  # of each list read from its top and from its bottom
     alive = np.ones((len(q), n), bool) if own is None else ~own
-    few = max(4 * k, n * OPEN)
-    for part in depths:
-        r = int(n * part)
-        open_ = np.flatnonzero(alive.sum(1) > few)
-        if r < 1 or n <= 4 * k or not len(open_):
-            continue
-        live = alive[open_]
-        some = np.flatnonzero(live.any(0))  # vectors that an open query may still take
-        live, v, u, d = live[:, some], x[some], up[open_].T, down[open_].T
-        top, bottom = lists[n - r], lists[r - 1]  # the last values read from either end
-        upper = np.maximum(v, top) @ u + np.minimum(v, bottom) @ d
-        lower = np.where(v >= top, v, lists[0]) @ u + np.where(v <= bottom, v, lists[-1]) @ d
-        lower = np.where(live, lower.T, -np.inf)
-        bar = np.partition(lower, len(some) - k, axis=1)[:, len(some) - k]
-        alive[np.ix_(open_, some)] = live & (upper.T >= bar[:, None])
-    i, j = np.nonzero(alive)  # those not ruled out: read on to the end of the lists
-    score = np.empty(len(i))
-    for at in range(0, len(i), 1 << 16):
-        s = slice(at, at + (1 << 16))
-        score[s] = np.einsum("ij,ij->i", q[i[s]], x[j[s]])
-    return i, j, score
+    known = np.zeros((len(q), n))  # sum of what was read
+    hidden = np.ones((n, 2 * d))  # lists that haven't shown a vector yet
+    far = np.concatenate([lists.values[:, 0], lists.values[:, -1]])
+    open_, r = np.arange(len(q)), 0
+    while True:
+        # the last values read; before reading, the first
+        last = np.concatenate([lists.values[:, n - max(r, 1)], lists.values[:, max(r, 1) - 1]])
+        many = alive[open_].sum() > FEW * len(open_) * n
+        ends = np.zeros(len(open_), bool)
+        if many:
+            left = known[open_]
+            w = weight[open_]
+            upper = left + (w * last) @ hidden.T if r else np.broadcast_to((w @ last)[:, None], left.shape)
+            lower = left + (w * far) @ hidden.T if r else np.broadcast_to((w @ far)[:, None], left.shape)
+            live = alive[open_]
+            lower = np.where(live, lower, -np.inf)
+            if n > k:
+                live &= upper >= np.partition(lower, n - k, axis=1)[:, n - k, None]
+            alive[open_] = live
+            ends = ~(live & (upper > lower)).any(1)
+            i, j = np.nonzero(live & ends[:, None])
+            out.append((open_[i], j, lower[i, j]))
+        else:
+            for at, i in enumerate(open_):
+                j = np.flatnonzero(alive[i])
+                unread = hidden[j]
+                upper, lower = known[i, j] + unread @ (weight[i] * last), known[i, j] + unread @ (weight[i] * far)
+                if len(j) > k:
+                    stays = upper >= np.partition(lower, len(j) - k)[len(j) - k]
+                    alive[i, j[~stays]] = False
+                    j, upper, lower = j[stays], upper[stays], lower[stays]
+                ends[at] = not (upper > lower).any()
+                if ends[at]:
+                    out.append((np.full(len(j), i), j, lower))
+        open_ = open_[~ends]
+        if not len(open_):
+            break
+        # read on
+        to = min(n, r + max(1, int((n - r) * part)))
+        top, bottom = slice(n - to, n - r), slice(r, to)
+        read[open_] += (to - r) * np.count_nonzero(q[open_], axis=1)
+        if many:  # what a round reads, by vector, for all queries at once
+            shown = np.zeros((n, 2 * d))
+            for j in range(d):
+                shown[lists.vectors[j, top], j] = lists.values[j, top]
+                shown[lists.vectors[j, bottom], d + j] = lists.values[j, bottom]
+            known[open_] += weight[open_] @ shown.T
+        else:
+            place = np.full(n, -1)
+            for i in open_:
+                j = np.flatnonzero(alive[i])
+                place[j] = np.arange(len(j))
+                plus, minus = np.flatnonzero(q[i] > 0), np.flatnonzero(q[i] < 0)
+                met = place[np.concatenate([lists.vectors[plus, top].ravel(), lists.vectors[minus, bottom].ravel()])]
+                at = np.flatnonzero(met >= 0)
+                gives = np.concatenate([(lists.values[plus, top] * q[i, plus, None]).ravel(), (lists.values[minus, bottom] * q[i, minus, None]).ravel()])
+                known[i, j] += np.bincount(met[at], gives[at], len(j))
+                place[j] = -1
+        for j in range(d):
+            hidden[lists.vectors[j, top], j] = 0
+            hidden[lists.vectors[j, bottom], d + j] = 0
+        r = to
+    i, j, score = (np.concatenate(x) for x in zip(*out))
+    return i, j, score, read
 
 
 def _best(i: np.ndarray, ids: np.ndarray, score: np.ndarray, k: int) -> np.ndarray:
@@ -71,6 +135,13 @@ def _best(i: np.ndarray, ids: np.ndarray, score: np.ndarray, k: int) -> np.ndarr
     return order[np.arange(len(order)) - first < k]
 
 
+def _distinct(ids: np.ndarray, m: np.ndarray) -> np.ndarray:
+    """Positions of the different rows (id and vector), by id."""
+    whole = np.concatenate([ids[:, None].view(np.uint8), np.ascontiguousarray(m, np.float64).view(np.uint8).reshape(len(ids), -1)], 1)
+    at = np.unique(np.ascontiguousarray(whole).view(f"V{whole.shape[1]}").ravel(), return_index=True)[1]
+    return at[np.argsort(ids[at], kind="stable")]
+
+
 def topk_search(vectors: DataFrame, id_: str = "vec_id", vector: str = "embedding", k: int = 5, scale: int = 256, every: int = 50, candidates: int = CANDIDATES, queries: int = QUERIES) -> DataFrame:
     """(query_id, rank, vec_id, score): the k rows of largest integer inner product for each query.
 
@@ -88,41 +159,49 @@ def topk_search(vectors: DataFrame, id_: str = "vec_id", vector: str = "embeddin
     fine = F.col("x").isNotNull() & F.col("vec_id").isNotNull() & F.forall(F.col(vector), lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < F.lit(float("inf"))))
     rows = vectors.select(F.col(id_).cast("long").alias("vec_id"), F.col(vector).cast("array<double>").alias(vector))
     rows = rows.withColumn("x", F.col(vector)).where(fine).select("vec_id", x.alias("x")).withColumn("dim", F.size("x"))
-    n = rows.groupBy("dim").agg(F.count(F.lit(1)).alias("n"), F.count(F.when(F.col("vec_id") % every == 0, 1)).alias("q"))
+    n = rows.groupBy("dim").agg(F.count(F.lit(1)).alias("n"), F.count(F.when(F.col("vec_id") % every == 0, 1)).alias("q")).where("q > 0")
     blocks = n.select("dim", F.ceil(F.col("n") / candidates).alias("cb"), F.ceil(F.col("q") / queries).alias("qb"))
-    rows = rows.join(F.broadcast(blocks), "dim")  # a row for each length of vectors
-    rows = rows.where("qb > 0")
+    # blocks of queries that share a copy of a block of candidates: one while pairs are few
+    share = F.least(F.greatest(F.floor(F.col("cb") * F.col("qb") / SPREAD), F.lit(1)), F.lit(SHARE))
+    blocks = blocks.withColumn("share", share).withColumn("groups", F.ceil(F.col("qb") / F.col("share")))
+    size = blocks.agg(F.count(F.lit(1)).alias("lengths"), F.sum(F.col("cb") * F.col("groups")).alias("tasks")).first()
+    tasks = min(max(1, size["tasks"] or 1), TASKS)
+    rows = rows.join(F.broadcast(blocks) if size["lengths"] <= LENGTHS else blocks, "dim")
     h = F.xxhash64("vec_id", "x")
     own = rows.withColumn("block", F.pmod(h, "cb"))
     asked = rows.where(F.col("vec_id") % every == 0).withColumn("block", F.pmod(h, "qb"))
-    pack = "dim int, block long, parts long, n long, ids binary, matrix binary"
+    pack = "dim int, block long, cb long, share long, groups long, ids binary, matrix binary"
 
-    def packed(df: DataFrame, other: str) -> DataFrame:
+    def packed(df: DataFrame) -> DataFrame:
         def run(table: pa.Table) -> pa.Table:
             ids, d = table.column("vec_id").to_numpy(), table.column("dim")[0].as_py()
             m = np.asarray(pa.concat_arrays(table.column("x").chunks).flatten() if d else np.empty(0), np.float64).reshape(len(ids), d)
-            both = np.unique(np.concatenate([ids[:, None].astype(np.float64), m], 1), axis=0, return_index=True)[1] if len(set(ids.tolist())) < len(ids) else np.argsort(ids)
-            m = m[both]
+            at = _distinct(ids, m)
+            m = m[at]
             small = np.int16 if not m.size or np.abs(m).max() < 2**15 else np.float64
             kind = b"s" if small is np.int16 else b"d"
-            return pa.table({"dim": pa.array([d], pa.int32()), "block": table.column("block")[:1], "parts": table.column("parts")[:1], "n": pa.array([len(both)], pa.int64()), "ids": pa.array([ids[both].tobytes()], pa.binary()), "matrix": pa.array([kind + m.astype(small).tobytes()], pa.binary())})
+            first = {c: table.column(c)[:1] for c in ("block", "cb", "share", "groups")}
+            return pa.table({"dim": pa.array([d], pa.int32()), **first, "ids": pa.array([ids[at].tobytes()], pa.binary()), "matrix": pa.array([kind + m.astype(small).tobytes()], pa.binary())})
 
-        return df.select("dim", "block", F.col(other).alias("parts"), "vec_id", "x").groupBy("dim", "block").applyInArrow(run, pack)
+        return df.select("dim", "block", "cb", "share", "groups", "vec_id", "x").groupBy("dim", "block").applyInArrow(run, pack)
 
-    ask = packed(asked, "cb").select("dim", F.col("block").alias("qblock"), F.col("ids").alias("q_ids"), F.col("matrix").alias("q"))
-    have = packed(own, "qb").withColumn("qblock", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
-    # a stated set of queries against all rows, in blocks: a row for each pair of blocks
-    work = have.join(ask, ["dim", "qblock"]).select("dim", "ids", "matrix", "q_ids", "q")
+    # a stated set of queries against all rows, in blocks: a row for each pair of blocks, a task for each group of them
+    keys = ["dim", "block", "group"]
+    ask = packed(asked).select("dim", F.floor(F.col("block") / F.col("share")).alias("group"), F.col("ids").alias("q_ids"), F.col("matrix").alias("q"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("cb") - 1)).alias("block"))
+    have = packed(own).withColumn("group", F.explode(F.sequence(F.lit(0).cast("long"), F.col("groups") - 1))).select(*keys, "ids", "matrix")
+    work = have.repartition(tasks, *keys).join(ask.repartition(tasks, *keys).hint("merge"), keys).select("dim", "ids", "matrix", "q_ids", "q")
 
     def matrix(data: bytes, d: int, n: int) -> np.ndarray:
         return np.frombuffer(data, np.int16 if data[:1] == b"s" else np.float64, offset=1).astype(np.float64).reshape(n, d)
 
     def run(batches):
+        seen = lists = None
         for batch in batches:
             for row in batch.to_pylist():
                 ids, q_ids = np.frombuffer(row["ids"], np.int64), np.frombuffer(row["q_ids"], np.int64)
-                a, b = matrix(row["q"], row["dim"], len(q_ids)), matrix(row["matrix"], row["dim"], len(ids))
-                i, j, s = nra(a, b, min(k, len(ids)), q_ids[:, None] == ids[None, :])
+                if (row["ids"], row["matrix"]) != seen:
+                    seen, lists = (row["ids"], row["matrix"]), Lists(matrix(row["matrix"], row["dim"], len(ids)))
+                i, j, s, _ = nra(matrix(row["q"], row["dim"], len(q_ids)), lists, k, q_ids[:, None] == ids[None, :])
                 to = np.searchsorted(known := np.sort(q_ids), q_ids)  # rows of one id are one query
                 i, v = to[i], ids[j]
                 order = np.lexsort((-s, v, i))  # the best vector of each pair of ids

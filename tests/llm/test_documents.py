@@ -14,13 +14,13 @@ import pyarrow as pa
 import pytest
 import zstandard
 
+from granulite.llm import blocks, mixing
 from granulite.llm import compression_rules as cr
-from granulite.llm import mixing
 from granulite.llm.blocks import pack, unpack
 from granulite.llm.components import components
 from granulite.llm.compression_rules import compression_rules
 from granulite.llm.kd_shards import kd_shards
-from granulite.llm.language_id import Model, language_id
+from granulite.llm.language_id import Model, Tree, language_id
 from granulite.llm.lm_score import ADD, SHORTER, lm_score
 from granulite.llm.ngram_join import ngram_jaccard_join
 from granulite.llm.substring_dedup import substring_dedup
@@ -63,7 +63,62 @@ def test_words_and_windows(size):
 def test_packing():
     a = np.array([0, 5, 1 << 40], np.uint64)
     b = np.array([1, 1, 0], np.uint64)
+    c = np.where(np.arange(3000) % 100 == 7, 1 << 20, 1).astype(np.uint64)
     assert [x.tolist() for x in unpack(pack(a, b))] == [a.tolist(), b.tolist()]
+    assert len(pack(c)) < 600 and unpack(pack(c, c[::-1]))[1].tolist() == c[::-1].tolist()
+    r = np.random.default_rng(1)
+    for k in ([7], [5, 5, 6], r.integers(0, 1 << 58, 20_000), r.integers(0, 300, 5000), [0, (1 << 58) - 1], [3] * 9):
+        keys = np.sort(np.array(k, np.uint64))
+        data = blocks.pack_keys(keys)
+        got, end = blocks.unpack_keys(data + b"more")
+        assert got.tolist() == keys.tolist() and end == len(data)
+        for parts, bits in ((1, 58), (7, 58), (2_000_003, 58)):
+            assert blocks.part_of(keys, parts, bits).tolist() == [int(x) * parts >> bits for x in keys.tolist()]
+    assert len(blocks.pack_keys(np.sort(r.integers(0, 1 << 58, 20_000).astype(np.uint64)))) < 5.8 * 20_000
+
+
+@pytest.mark.parametrize("tera, rows", [(0.001, 90), (1, 20_000), (100, 3000)])
+def test_rows_of_a_block_are_bounded(tera, rows):
+    """At 1 GB, 1 TB and 100 TB: rows that a block sends, bytes of a block, and partitions of an exchange."""
+    s = blocks.plan(10, int(tera * 1e12))
+    assert s.groups <= rows and s.groups <= max(blocks.HOP, 2 * math.isqrt(s.parts) + 1)
+    assert s.bytes / s.blocks <= blocks.MOST_BYTES and s.tasks <= blocks.TASKS
+    # and those that a relay meets, and a part
+    assert not s.group or (s.batch <= 2 * math.isqrt(s.parts) and -(-s.blocks // s.batch) <= 10_000)
+
+
+@pytest.mark.parametrize("hop", [1, 4096])
+def test_exchange(spark, monkeypatch, hop):
+    """Each block learns of each of its keys the number of blocks that hold it, in one hop and in two."""
+    monkeypatch.setattr(blocks, "HOP", hop)
+    r = np.random.default_rng(3)
+    texts_ = [" ".join(f"w{x}" for x in r.integers(0, 400, 60)) for _ in range(200)]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts_)], "doc_id long, text string")
+    sizes = blocks.measure(df, "text", 1000)
+    assert (sizes.group > 0) == (hop == 1) and sizes.parts > 3
+    dealt = blocks.deal(df, "doc_id", "text", sizes)
+
+    def keys(table):
+        h = np.concatenate([blocks.short(w.hash) for w in words(table.column("text"))])
+        return [(np.unique(h), [np.ones(len(np.unique(h)), np.uint64)])]
+
+    def reply(k, _, values):
+        order, at, size = blocks.groups(k)
+        return [blocks.spread(order, size, np.add.reduceat(values[0][order], at))]
+
+    def again(table, got):
+        (k, v), = keys(table)
+        return [(k[got[0] > 1], [v[0][got[0] > 1]])], b"own"
+
+    def end(table, got, own):
+        assert own == b"own"
+        return pa.table({"block": pa.array([table.column("__block")[0].as_py()]), "words": pa.array([sorted({x for t in table.column("text").to_pylist() for x in t.split()})]), "n": pa.array([int(got[0].sum())])})
+
+    answered = blocks.answer(blocks.send(dealt, keys, sizes), reply, sizes)
+    answered = blocks.answer(blocks.send_again(dealt, answered, again, sizes, sizes), reply, sizes)
+    rows = blocks.finish(dealt, answered, end, "block long, words array<string>, n long", sizes, noted=True).collect()
+    held = Counter(x for r_ in rows for x in r_.words)
+    assert len(rows) > 10 and all(r_.n == sum(held[x] for x in r_.words if held[x] > 1) for r_ in rows)
 
 
 def test_components(spark):
@@ -174,6 +229,40 @@ def test_lm_score(request, table, order):
     assert np.allclose([x[5:] for x in sorted(got)], [x[5:] for x in sorted(want)])
 
 
+def test_automaton_carries_the_longest_known_history():
+    """Arcs and states of a few texts, by hand and against a search for the longest known history after each token."""
+    from granulite.llm import lm_score as lm
+
+    train = ["a b c a b d", "b c", "a b c a b c a b"]
+    some = ["a b c a x b d", "x", "", "c a b c a b d b c a"]
+    count = Counter()
+    for t in train:
+        x = ["^", *t.split(), "$"]
+        count.update(tuple(x[i:j]) for i in range(len(x)) for j in range(i + 1, len(x) + 1) if j - i <= 3 and j > 1)
+    (_, _, _, n, grams, exist), = lm._tokens(pa.chunked_array([pa.array(some)]), 3)
+    flat = [(x, i) for t in some for x in [["^", *t.split(), "$"]] for i in range(1, len(x))]
+    counts = [np.array([count[tuple(x[i - m : i + 1])] if e[at] else -1 for at, (x, i) in enumerate(flat)]) for m, e in enumerate(exist)]
+    total, kinds = sum(v for k, v in count.items() if len(k) == 1), len({k for k in count if len(k) == 1})
+    a = lm.Automaton(grams, counts, np.cumsum(n) - n, total, kinds, len(train))
+    at = 0
+    for t in some:
+        state, x = np.array([a.begin]), ["^", *t.split(), "$"]
+        for i in range(1, len(x)):
+            weight, state = a.walk(np.array([at]), state)
+            known = [m for m in (1, 2) if count[tuple(x[max(0, i - m + 1) : i + 1])] and i - m + 1 >= 0]
+            assert a.level[state[0]] == max(known, default=0)
+            p = (count[x[i],] + lm.ADD) / (total + lm.ADD * (kinds + 1))
+            for m in (1, 2):
+                h = tuple(x[i - m : i]) if i - m >= 0 else ("none",)
+                seen = len(train) if h == ("^",) else count[h]
+                p = (count[(*h, x[i])] + lm.SHORTER * p) / (seen + lm.SHORTER) if seen else p
+            assert weight[0] == pytest.approx(math.log10(p))
+            at += 1
+    assert (a.level[a.fail][2:] == a.level[2:] - 1).all() and a.level[a.fail[1]] == 0
+    for stretch in (1, 2, 3, 256):
+        assert np.allclose(lm.traverse(a, n, 3, stretch), lm.traverse(a, n, 3))
+
+
 def test_lm_beats_unigrams(docs):
     rows = [r for r in lm_score(docs).collect() if r.held_out]
     assert sum(r.score for r in rows) > sum(r.base_score for r in rows)
@@ -252,16 +341,16 @@ def test_compression_bands_reject_noise(docs):
 
 
 def test_ppm_probabilities_sum_to_one():
-    m = Model({"a": [b"abracadabra", b"a"], "b": [b"xyzzy", "é".encode()]})
-    width = np.ones(m.bits.shape[1])
-    width[0] = 256 - (m.bits.shape[1] - 1)
-    assert np.allclose((np.exp2(-m.bits.astype(float)) * width[None, :, None]).sum(1), 1, atol=1e-4)
+    for tree in Model.of({"a": [b"abracadabra", b"a"], "b": [b"xyzzy", "é".encode()], "c": [bytes(range(255)) * 2]}).trees:
+        width = np.ones(tree.k)
+        width[0] = 256 - (tree.k - 1)
+        assert np.allclose((np.exp2(-tree.bits[:-1].astype(float).reshape(-1, tree.k)) * width).sum(1), 1, atol=1e-4)
 
 
 def test_ppm_against_walk():
     """Code lengths of the tables against a walk through dictionaries of contexts."""
     train, order = {"a": [b"abracadabra", b"banana"], "b": [b"xyzzy abc"]}, 3
-    m = Model(train, order)
+    m = Model({k: Tree.loaded(t.saved()) for k, t in zip(train, Model.of(train, order).trees)})
     counts = {k: defaultdict(Counter) for k in train}
     for k, t in train.items():
         for x in t:
@@ -381,6 +470,19 @@ def test_mixing_makes_up_shortages(spark):
     assert got == {"a1": 10, "a5": 190, "b2": 100}
 
 
+@pytest.mark.parametrize("at_once", [0, 100])
+def test_mixing_to_weights_of_all_levels(spark, at_once):
+    """Nobody runs short: tokens lie as weights say, also where leaves are too many to broadcast."""
+    rows = [(i, "w " * 10, ("en", "de")[i % 2], f"{'ab'[i // 2 % 2]}{i // 4 % 2}") for i in range(1600)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    weights = {"domain": {"d0": 3}, "lang": {"en": 4}, "source": {"a1": 2, "a0": 1}}
+    got = Counter()
+    for r in mixing.mix_sources(df, percent=25, epochs=1, weights=weights, leaves_at_once=at_once).collect():
+        got[r.domain, r.lang, r.source] += r.n_tokens
+    want = {(d, l, s): 4000 * (3 if d == "d0" else 1) / 4 * (4 if l == "en" else 1) / 5 * (2 if s == "a1" else 1) / (3 if d == "d1" else 2) for d in ("d0", "d1") for l in ("en", "de") for s in (f"a{d[1]}", f"b{d[1]}")}
+    assert set(got) == set(want) and all(0 <= want[k] - got[k] <= 11 for k in want)
+
+
 def test_empty_tables(none):
     for f in (ngram_jaccard_join, substring_dedup, lm_score, compression_rules):
         assert f(none).count() == 0

@@ -12,7 +12,7 @@ import pytest
 
 from granulite.llm import warc
 from granulite.llm.pieces import OPEN, decode_pieces, default_model, encode_pieces, load, product, scan
-from granulite.llm.topk_search import nra, topk_search
+from granulite.llm.topk_search import Lists, nra, topk_search
 
 
 def test_archive_round_trip():
@@ -47,29 +47,56 @@ def test_warc(spark, tmp_path):
     assert warc.warc_round_trip(df.where("false"), str(tmp_path / "none")).count() == 0
 
 
-def test_nra_is_exact():
+def full_scan(q, x, k, i, j, score):
+    """Whether (i, j, score) holds the k best of each query with ties, with true scores."""
+    full = q @ x.T
+    assert (full[i, j] == score).all()
+    bar = np.sort(full, axis=1)[:, -min(k, len(x))]
+    assert set(zip(*np.nonzero(full >= bar[:, None]))) <= set(zip(i, j))
+
+
+@pytest.mark.parametrize("part", [0.1, 0.5, 1.0])
+def test_nra_is_exact(part):
     r = np.random.default_rng(2)
-    for n, d in ((400, 16), (50, 3), (3, 5)):
+    for n, d in ((400, 16), (50, 3), (3, 5), (1, 1)):
         x, q = r.integers(-60, 60, (n, d)).astype(float), r.integers(-60, 60, (7, d)).astype(float)
-        i, j, s = nra(q, x, min(5, n))
-        full = q @ x.T
-        for a in range(7):
-            got = {(b, v) for k, b, v in zip(i, j, s) if k == a}
-            bar = np.sort(full[a])[-min(5, n)]
-            assert {(b, full[a, b]) for b in np.flatnonzero(full[a] >= bar)} <= got and all(full[a, b] == v for b, v in got)
+        q[0] = 0
+        i, j, s, read = nra(q, Lists(x), 5, part=part)
+        full_scan(q, x, 5, i, j, s)
+        assert read[0] == 0 and (read <= n * (q != 0).sum(1)).all()
+    i, j, s, _ = nra(np.zeros((2, 0)), Lists(np.zeros((3, 0))), 2)
+    assert sorted(zip(i, j, s)) == [(a, b, 0) for a in range(2) for b in range(3)]
+
 
+def test_nra_leaves_out_own_vectors():
+    x = np.arange(12.0).reshape(6, 2)
+    i, j, _, _ = nra(x[-1:], Lists(x), 2, np.arange(6)[None, :] == 5)
+    assert set(j) == {4, 3}
 
-def test_nra_reads_on_until_few_are_left():
-    """Only candidates that the bounds leave are scored, and they hold the best."""
+
+def test_nra_stops_when_no_outsider_can_qualify():
+    """Where contributions fall steeply few entries are read; where all differ in all lists, reading goes on to the end but candidates get few."""
     r = np.random.default_rng(5)
+    x = np.zeros((2000, 20))
+    for j in range(20):  # each list has 30 values above 0
+        x[r.choice(2000, 30, replace=False), j] = r.integers(1, 200, 30)
+    q = r.integers(1, 9, (10, 20)).astype(float)
+    i, j, s, read = nra(q, Lists(x), 5, part=0.02)
+    full_scan(q, x, 5, i, j, s)
+    assert (read <= 0.05 * x.size).all()
     x = r.normal(size=(2000, 64))
     x = np.floor(256 * x / np.linalg.norm(x, axis=1, keepdims=True))
-    q = x[::50]
-    i, j, s = nra(q, x, 5)
-    full = q @ x.T
-    assert len(i) < 0.05 * full.size and (full[i, j] == s).all()
-    bar = np.sort(full, axis=1)[:, -5]
-    assert set(zip(*np.nonzero(full >= bar[:, None]))) <= set(zip(i, j))
+    i, j, s, read = nra(x[::50], Lists(x), 5)
+    full_scan(x[::50], x, 5, i, j, s)
+    assert len(i) < 0.02 * 40 * 2000 and (read <= x.size).all()
+
+
+def test_topk_of_large_ids(spark):
+    """Ids above 2^53 stay apart, also where one repeats in its block."""
+    big = 50 * ((1 << 53) // 50 + 3)
+    rows = [(big, [1.0, 0.5]), (big, [1.0, 0.5]), *((big + n, [0.5, 0.25]) for n in range(1, 7))]
+    got = sorted(map(tuple, topk_search(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), k=6).collect()))
+    assert got == best(rows, k=6) and len(got) == 6
 
 
 def best(rows, k=5, every=50):
@@ -113,7 +140,11 @@ def chunked(m, text, chunk):
     at = [(i * chunk, min(len(s), (i + 1) * chunk)) for i in range(n)]
     t = [m.transfer(s, a, b) for a, b in at]
     enter = [OPEN, *(t[i + 1][0][q] for i, q in enumerate(scan([x[2] for x in t])))]
-    return [x for (a, b), e, o in zip(at, enter, [*enter[1:], OPEN]) for x in m.trace(s, a, b, e, o)]
+    out = []
+    for (a, b), e, o in zip(at, enter, [*enter[1:], OPEN]):
+        before, inner, after = m.trace(s, a, b, e, o)
+        out += [*before, *m.units([inner])[0].tolist(), *after]
+    return out
 
 
 def test_chunks_of_any_size_give_the_library_ids():
@@ -123,7 +154,7 @@ def test_chunks_of_any_size_give_the_library_ids():
     some += ["".join(r.choice(["tion", "in", "er", "the", "ab", "  ", "x"]) for _ in range(r.randint(1, 30))) for _ in range(60)]
     for t in some:
         want = m.sp.encode(t)
-        assert m.units([m.marked(t)])[0] == want
+        assert m.units([m.marked(t)])[0].tolist() == want
         for chunk in (1, 2, 3, 7, 20):
             assert chunked(m, t, chunk) == want, (t, chunk)
 
@@ -141,6 +172,37 @@ def test_encode_and_decode(request, table, chunk):
     assert max(r.n_chunks for r in out) > 1 or chunk == 1 << 20
 
 
+def test_any_ids_are_decoded_as_by_the_library(spark):
+    """Ids at random, of bytes that aren't UTF-8, of control pieces and none at all."""
+    m, r = load(default_model()), random.Random(7)
+    some = [None, [], [0], [1, 2], [m.sp.piece_to_id("<0xE6>")], [m.id["▁"], m.id["▁"]], [m.sp.piece_to_id("<0x41>")]]
+    some += [[r.randrange(m.sp.get_piece_size()) for _ in range(r.randint(1, 20))] for _ in range(150)]
+    some += [[r.randrange(3000, 20000) for _ in range(r.randint(1, 20))] for _ in range(150)]
+    out = decode_pieces(spark.createDataFrame(list(enumerate(some)), "i int, ids array<int>")).collect()
+    got = {x.i: x.text for x in out}
+    assert all(got[i] == (None if x is None else m.sp.decode(x)) for i, x in enumerate(some))
+
+
+def test_words_of_one_hash(monkeypatch):
+    """Words are told apart also where their hashes are equal."""
+    from granulite.llm import pieces
+
+    m, t = load(default_model()), "the cat saw  the other cat"
+    monkeypatch.setattr(pieces, "hashes", lambda data, start, end: np.zeros(len(start), np.uint64))
+    assert m.units([m.marked(t)])[0].tolist() == m.sp.encode(t)
+
+
+def test_words_are_forgotten(monkeypatch):
+    """Beyond the words that a worker remembers, ids stay the library's."""
+    from granulite.llm import pieces
+
+    m, r = pieces.Pieces(default_model()), random.Random(2)
+    monkeypatch.setattr(pieces, "REMEMBER", 40)
+    for _ in range(30):
+        t = " ".join(f"w{r.randint(0, 60)}" for _ in range(30))
+        assert m.units([m.marked(t)])[0].tolist() == m.sp.encode(t) and len(m.known.size) <= 60
+
+
 def test_pipeline(spark, docs, none):
     import corpus_pipeline as p
 
@@ -176,16 +238,24 @@ def test_near_duplicates_under_shared_ids(spark):
 
 
 def test_pipeline_on_odd_rows(spark, odd, none):
+    """Each stage by itself on odd rows, whose columns clash with those that operators make, and on what its predecessor kept."""
     import corpus_pipeline as p
 
+    odd = odd.withColumns({c: odd["score"] for c in ("first_id", "row_key", "class_id", "lang_pred", "domain")})
+    alone = {name: stage(spark, odd, "").collect() for name, stage in p.STAGES}
+    assert {r.doc_id for r in alone["language ID"]} == {1, 4, 5, 6, 7, None, 10, 11} and all(r.lang in ("en", "de") for r in alone["language ID"])
+    # 1 and the null id, 5 and 5 and 4, 6 and 7 are groups; texts without words stay
+    assert Counter(r.doc_id for r in alone["near duplicates"]) == Counter([1, 2, 3, 4, 6, 8, 9, 10, 11, 11])
+    assert all(r.text is None or r.text for r in alone["substring dedup"] if r.doc_id not in (3, 8)) and {r.doc_id for r in alone["substring dedup"]} >= {2, 3, 4, 8, 9}
+    assert {r.doc_id for r in alone["mixing"]} <= {r.doc_id for r in odd.collect() if (r.text or "").split()}
+    assert Counter((r.doc_id, r.n_tokens == 0) for r in alone["SentencePiece encoding"]) == Counter((r.doc_id, not r.text) for r in odd.collect())
     for df in (odd, none):
         kept = df
-        for _, stage in p.STAGES:
+        for name, stage in p.STAGES:
             kept = stage(spark, kept, "")
             rows = kept.collect()
             kept = spark.createDataFrame(rows, kept.schema)
-        if df is none:
-            assert not rows
+            assert rows if df is odd else not rows
 
 
 def test_entry_names_and_sql(spark):
