@@ -2,7 +2,10 @@
 
 Each stage takes (spark, docs, sf_dir) and returns the columns of documents, the last
 one ids instead of text. Null handling, ties and empty tables are those of the
-operators; docs may hold any columns besides the five that are passed on.
+operators: rows with a null or wordless text have no language and go with the first
+stage, a null lang is recognised, a null source is a source ``none``, equal rows are one
+document from the second stage on, and an empty table gives an empty table. docs may
+hold any columns besides the five that are passed on.
 """
 
 from __future__ import annotations
@@ -37,6 +40,7 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     and of a component's rows with its least id the one with the least key stays; a null
     id comes last. Documents without a word don't link, and stay.
     """
+    docs = docs.select(*COLUMNS)
     if not docs.groupBy("doc_id").count().where("count > 1").take(1):
         first = ngram_jaccard_join(docs).where("doc_id <=> component_id").select("doc_id").distinct()
         stays = F.col("doc_id").eqNullSafe(F.col("first_id"))
