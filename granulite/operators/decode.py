@@ -71,6 +71,12 @@ def bits_prefix(layer: Column, index: Column, width: int, size: int) -> Column:
     return out
 
 
+def bits_wide(layer: Column, index: Column, width: int, step: int | Column, first: int | Column) -> Column:
+    """A bit field of more bytes than a long has, as binary: byte k stands at ``first * index + k * step``."""
+    byte = lambda k: F.lpad(F.hex(at(layer, index * first + k * step).cast("long").bitwiseAND(F.lit(255).cast("long"))), 2, "0")
+    return F.unhex(F.concat(*(byte(k) for k in range(width))))
+
+
 def wrapped_short(v: Column) -> Column:
     """A value in 16 signed bits, wrapping around."""
     return (F.pmod(v.cast("long") + 32768, F.lit(65536)) - 32768).cast("short")

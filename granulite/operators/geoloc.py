@@ -10,6 +10,7 @@ extrapolate from that block alone.
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -19,24 +20,29 @@ CORNER, CENTRE = 0.0, 0.5
 SPHERE = 6371007.181
 
 
-def interpolate(source: Column, lines: int, samples: int, row: Column, col: Column, factor: int, offset: float) -> Column:
-    """The source (lines x samples values of a block) at an output's row and column."""
-    if lines < 2 or samples < 2:
-        raise ValueError("a block of at least 2 x 2 values is needed")
+def cell(at: Column, n: int | Column, factor: int, offset: float) -> tuple[Column, Column]:
+    """Along an axis of n source values: the first of the two around an output, and how far beyond it the output is."""
+    f = (at + F.lit(offset)) / F.lit(float(factor)) - F.lit(0.5)
+    i = F.least(F.greatest(F.floor(f), F.lit(0)), (F.lit(n) if isinstance(n, int) else n) - 2).cast("int")
+    return i, f - i
 
-    def cell(x: Column, n: int) -> tuple[Column, Column]:
-        f = (x + F.lit(offset)) / F.lit(float(factor)) - F.lit(0.5)
-        i = F.least(F.greatest(F.floor(f), F.lit(0)), F.lit(n - 2)).cast("int")
-        return i, f - i
 
-    (i, a), (j, b) = cell(row, lines), cell(col, samples)
+def between(source: Column, samples: int, i: Column, a: Column, j: Column, b: Column, change: Callable[[Column], Column] = lambda v: v) -> Column:
+    """The value beyond row i by a and column j by b; null in a block of one line. change: applied to the values first."""
 
     def s(di: int, dj: int) -> Column:
-        return F.get(source, (i + di) * samples + j + dj)
+        return change(F.get(source, (i + di) * samples + j + dj))
 
     return (1 - a) * (1 - b) * s(0, 0) + (1 - a) * b * s(0, 1) + a * b * s(1, 1) + a * (1 - b) * s(1, 0)
 
 
+def interpolate(source: Column, lines: int, samples: int, row: Column, col: Column, factor: int, offset: float) -> Column:
+    """The source (lines x samples values of a block) at an output's row and column."""
+    if samples < 2 or lines < 2:
+        raise ValueError("a block of at least 2 x 2 values is needed")
+    return between(source, samples, *cell(row, lines, factor, offset), *cell(col, samples, factor, offset))
+
+
 def shifted_longitude(lon: Column) -> Column:
     """Longitudes in [0, 360)."""
     return F.when(lon < 0, lon + 360.0).otherwise(lon)

@@ -7,7 +7,9 @@ place.
 
 from __future__ import annotations
 
+import operator
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -43,26 +45,27 @@ def ring_box(r: Column) -> Column:
 
 
 
+#: Each operator of a pixel's box and an argument's, as the comparisons it's made of: a bound of the pixel's, a sign, a bound of the argument's.
+COMPARISONS: dict[str, tuple[tuple[str, str, str], ...]] = {
+    "overlaps": (("xmin", "<=", "xmax"), ("xmax", ">=", "xmin"), ("ymin", "<=", "ymax"), ("ymax", ">=", "ymin")),
+    "contains": (("xmin", "<=", "xmin"), ("xmax", ">=", "xmax"), ("ymin", "<=", "ymin"), ("ymax", ">=", "ymax")),
+    "within": (("xmin", ">=", "xmin"), ("xmax", "<=", "xmax"), ("ymin", ">=", "ymin"), ("ymax", "<=", "ymax")),
+    "same": tuple((k, sign, k) for k in ("xmin", "xmax", "ymin", "ymax") for sign in ("<=", ">=")),
+    "overleft": (("xmax", "<=", "xmax"),), "overright": (("xmin", ">=", "xmin"),), "overabove": (("ymin", ">=", "ymin"),), "overbelow": (("ymax", "<=", "ymax"),),
+    "left": (("xmax", "<", "xmin"),), "right": (("xmin", ">", "xmax"),), "above": (("ymin", ">", "ymax"),), "below": (("ymax", "<", "ymin"),),
+    "comm_left": (("xmax", ">=", "xmax"),), "comm_right": (("xmin", "<=", "xmin"),), "comm_above": (("ymin", "<=", "ymin"),), "comm_below": (("ymax", ">=", "ymax"),),
+}
+
+SIGNS: dict[str, Callable[[Column, Column], Column]] = {"<=": operator.le, ">=": operator.ge, "<": operator.lt, ">": operator.gt}
+OPPOSITE = {"<=": ">", ">=": "<", "<": ">=", ">": "<="}
+
+
+def _operator(comparisons: tuple[tuple[str, str, str], ...]) -> Callable[[Column, Column], Column]:
+    return lambda p, a: reduce(operator.and_, (SIGNS[sign](p[x], a[y]) for x, sign, y in comparisons))
+
 
 #: By name: the operator of a pixel's box p and an argument's box a.
-OPERATORS: dict[str, Callable[[Column, Column], Column]] = {
-    "overlaps": lambda p, a: (p["xmin"] <= a["xmax"]) & (p["xmax"] >= a["xmin"]) & (p["ymin"] <= a["ymax"]) & (p["ymax"] >= a["ymin"]),
-    "contains": lambda p, a: (p["xmin"] <= a["xmin"]) & (p["xmax"] >= a["xmax"]) & (p["ymin"] <= a["ymin"]) & (p["ymax"] >= a["ymax"]),
-    "within": lambda p, a: (p["xmin"] >= a["xmin"]) & (p["xmax"] <= a["xmax"]) & (p["ymin"] >= a["ymin"]) & (p["ymax"] <= a["ymax"]),
-    "same": lambda p, a: (p["xmin"] == a["xmin"]) & (p["xmax"] == a["xmax"]) & (p["ymin"] == a["ymin"]) & (p["ymax"] == a["ymax"]),
-    "overleft": lambda p, a: p["xmax"] <= a["xmax"],
-    "overright": lambda p, a: p["xmin"] >= a["xmin"],
-    "overabove": lambda p, a: p["ymin"] >= a["ymin"],
-    "overbelow": lambda p, a: p["ymax"] <= a["ymax"],
-    "left": lambda p, a: p["xmax"] < a["xmin"],
-    "right": lambda p, a: p["xmin"] > a["xmax"],
-    "above": lambda p, a: p["ymin"] > a["ymax"],
-    "below": lambda p, a: p["ymax"] < a["ymin"],
-    "comm_left": lambda p, a: a["xmax"] <= p["xmax"],
-    "comm_right": lambda p, a: a["xmin"] >= p["xmin"],
-    "comm_above": lambda p, a: a["ymin"] >= p["ymin"],
-    "comm_below": lambda p, a: a["ymax"] <= p["ymax"],
-}
+OPERATORS = {name: _operator(c) for name, c in COMPARISONS.items()}
 
 #: The operator that holds with its sides exchanged.
 SWAPPED = {
@@ -71,9 +74,6 @@ SWAPPED = {
     "comm_left": "overleft", "comm_right": "overright", "comm_above": "overabove", "comm_below": "overbelow",
 }
 
-#: Signs of the operators in SQL text.
-SIGNS = {"&&": "overlaps", "~": "contains", "@": "within", "~=": "same", "&<": "overleft", "&>": "overright", "|&>": "overabove", "&<|": "overbelow", "<<": "left", ">>": "right", "|>>": "above", "<<|": "below"}
-
 
 def apply(op: str, p: Column, a: Column, negated: bool = False) -> Column:
     e = OPERATORS[op](p, a)

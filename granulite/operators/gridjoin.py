@@ -1,100 +1,93 @@
 """Polygon x grid joins: which cells a polygon covers, and how much of each.
 
-In units of the grid a cell is a unit square. A ring is cut into strips of one column,
-each strip into cells, by clipping at the four half planes of a cell (Sutherland and
-Hodgman) in array expressions; strips keep the number of clips near the number of
-cells that are really covered. The area comes from the shoelace formula, and edges
-that clipping leaves on a cell's border add nothing to it, so rings needn't be convex.
+In units of the grid a cell is a unit square. Only a ring's *edges* are cut at the lines
+of the grid. A piece of an edge within a cell adds to the cell the signed area between
+itself and the cell's right side, and its height to all cells further right in its row.
+Pieces are summed by cell, and a running sum along each row gives the part of every cell
+that the ring encloses; cells between two pieces are covered alike and are filled in. So
+the work before the last step follows a ring's circumference, not its area, all of it is
+arithmetic in generated code, and rings needn't be convex.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Parts of a cell below which an overlap is rounding.
 LEAST = 1e-12
-
-
-def _let(value: Column, f: Callable[[Column], Column]) -> Column:
-    """f of a value that is computed once; inlined, each mention of it would be computed anew."""
-    return F.get(F.transform(F.array(value), f), F.lit(0))
-
-
-def _clip(points: Column, axis: str, bound: Column, above: bool) -> Column:
-    """The part of an open ring on one side of ``axis = bound``."""
-    other = "v" if axis == "u" else "u"
-
-    def inside(p: Column) -> Column:
-        return p[axis] >= bound if above else p[axis] <= bound
-
-    def crossing(p: Column, q: Column) -> Column:
-        at = p[other] + (q[other] - p[other]) * (bound - p[axis]) / (q[axis] - p[axis])
-        named = {axis: bound.cast("double"), other: at}
-        return F.struct(named["u"].alias("u"), named["v"].alias("v"))
-
-    def step(q: Column, p: Column) -> Column:
-        return (
-            F.when(inside(p) & inside(q), F.array(p))
-            .when(inside(p), F.array(crossing(q, p), p))
-            .when(inside(q), F.array(crossing(q, p)))
-            .otherwise(F.slice(F.array(p), 1, 0))
-        )
-
-    # each point with the one before it, the first with the last
-    return _let(points, lambda ring: F.flatten(F.zip_with(F.concat(F.slice(ring, -1, 1), F.slice(ring, 1, F.greatest(F.size(ring) - 1, F.lit(0)))), ring, step)))
-
-
-def _area(points: Column) -> Column:
-    def cross(p: Column, q: Column) -> Column:
-        return p["u"] * q["v"] - q["u"] * p["v"]
-
-    def twice(ring: Column) -> Column:
-        follow = F.concat(F.slice(ring, 2, F.size(ring)), F.slice(ring, 1, 1))
-        return F.aggregate(F.zip_with(ring, follow, cross), F.lit(0.0), lambda s, x: s + x)
-
-    return F.when(F.size(points) >= 3, F.abs(_let(points, twice)) / 2)
-
-
-def _range(points: Column, axis: str) -> tuple[Column, Column]:
-    """First and last cell along an axis; null for no points."""
-    values = F.transform(points, lambda p: p[axis])
-    return F.floor(F.array_min(values)), F.ceil(F.array_max(values)) - 1
-
-
-def _cells(df: DataFrame, points: Column, keep: list[str], width: int | None, height: int | None, kind: str) -> DataFrame:
-    df = df.withColumn("__p", points).where(F.size("__p") >= 3)
-    for axis, name, cells, then in (("u", "i", width, "__s"), ("v", "j", height, "__c")):
-        source = "__p" if axis == "u" else "__s"
-        lo, hi = _range(F.col(source), axis)
-        if cells is not None:
-            lo, hi = F.greatest(lo, F.lit(0)), F.least(hi, F.lit(cells - 1))
-        df = df.withColumn("__lo", lo).withColumn("__hi", hi).where("__lo <= __hi").withColumn(name, F.explode(F.sequence("__lo", "__hi")))
-        df = df.withColumn(then, _clip(_clip(F.col(source), axis, F.col(name), True), axis, F.col(name) + 1, False))
-    df = df.withColumn("ratio", _area(F.col("__c"))).where(F.col("ratio") > LEAST)
-    return df.select(*keep, F.col("i").cast(kind).alias("i"), F.col("j").cast(kind).alias("j"), "ratio")
-
-
-def _units(ring: Column, ox: float, oy: float, sx: float, sy: float) -> Column:
-    """A closed ring as an open one in units of the grid; null and empty rings have no points."""
-    open_ = F.slice(ring, 1, F.greatest(F.size(ring) - 1, F.lit(0)))
-    return F.when(F.size(ring) > 3, F.transform(open_, lambda p: F.struct(((p["x"] - F.lit(float(ox))) / F.lit(float(sx))).alias("u"), ((p["y"] - F.lit(float(oy))) / F.lit(float(sy))).alias("v"))))
-
-
-def grid_join(df: DataFrame, ring: str, sx: float, sy: float, ox: float = 0.0, oy: float = 0.0, keep: list[str] | None = None) -> DataFrame:
+_FAR = 1e300
+
+
+def _clamp(x: Column, low: Column, high: Column) -> Column:
+    return F.least(F.greatest(x, low), high)
+
+
+def _first(x: Column, y: Column) -> Column:
+    """The first cell that the range between two values meets."""
+    return F.floor(F.least(x, y))
+
+
+def _last(x: Column, y: Column) -> Column:
+    """The last cell that it meets with more than its end."""
+    return F.greatest(F.ceil(F.greatest(x, y)) - 1, F.floor(F.least(x, y)))
+
+
+def _cells(df: DataFrame, ring: str, frame: tuple[float, float, float, float], keep: list[str], key: list[str] | None, width: int | None, height: int | None, kind: str) -> DataFrame:
+    ox, oy, sx, sy = (F.lit(float(x)) for x in frame)
+    names = {c: f"__k{n}" for n, c in enumerate(dict.fromkeys([*keep, *(key or [])]))}
+    own = [F.col(f"`{c}`").alias(n) for c, n in names.items()]
+    if key is None:
+        own.append(F.monotonically_increasing_id().alias("__id"))
+    rows = [n for n in names.values()] + ([] if key else ["__id"])
+    df = df.select(*own, F.col(ring).alias("__r")).where(F.size("__r") > 3)
+    df = df.withColumn("__e", F.explode(F.sequence(F.lit(1), F.size("__r") - 1)))
+    p, q = F.element_at("__r", F.col("__e")), F.element_at("__r", F.col("__e") + 1)
+    df = df.select(*rows, ((p["x"] - ox) / sx).alias("pu"), ((p["y"] - oy) / sy).alias("pv"), ((q["x"] - ox) / sx).alias("qu"), ((q["y"] - oy) / sy).alias("qv")).where("pv <> qv")
+    # pieces of an edge by row
+    low, high = _first(F.col("pv"), F.col("qv")), _last(F.col("pv"), F.col("qv"))
+    if height is not None:
+        low, high = F.greatest(low, F.lit(0)), F.least(high, F.lit(height - 1))
+    df = df.withColumn("j", F.explode(F.when(low <= high, F.sequence(low, high))))
+    at = lambda v: F.col("pu") + (v - F.col("pv")) * (F.col("qu") - F.col("pu")) / (F.col("qv") - F.col("pv"))
+    va, vb = (_clamp(F.col(v), F.col("j").cast("double"), (F.col("j") + 1).cast("double")) for v in ("pv", "qv"))
+    df = df.select(*rows, "j", va.alias("va"), vb.alias("vb"), at(va).alias("ua"), at(vb).alias("ub"))
+    # and by column; what is left of the grid is one piece, in column -1
+    low, high = _first(F.col("ua"), F.col("ub")), _last(F.col("ua"), F.col("ub"))
+    if width is not None:
+        low, high = F.greatest(low, F.lit(-1)), F.greatest(F.least(high, F.lit(width - 1)), F.lit(-1))
+    df = df.withColumn("i", F.explode(F.when(low <= high, F.sequence(low, high))))
+    left = F.col("i").cast("double") if width is None else F.when(F.col("i") >= 0, F.col("i").cast("double")).otherwise(F.lit(-_FAR))
+    right = (F.col("i") + 1).cast("double")
+    ends = [_clamp(F.col(u), left, right) for u in ("ua", "ub")]
+    height_ = F.when(F.col("ua") == F.col("ub"), F.col("vb") - F.col("va")).otherwise((ends[1] - ends[0]) * (F.col("vb") - F.col("va")) / (F.col("ub") - F.col("ua")))
+    df = df.select(*rows, "j", "i", height_.alias("c"), (height_ * (right - (ends[0] + ends[1]) / 2)).alias("a"))
+    # one exchange, by row of a ring: sums by cell, and along the row
+    group = [*rows, "j"]
+    df = df.repartition(*group).groupBy(*group, "i").agg(F.sum("c").alias("c"), F.sum("a").alias("a"))
+    by = Window.partitionBy(*group).orderBy("i")
+    df = df.withColumn("before", F.coalesce(F.sum("c").over(by.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0)))
+    end = F.coalesce(F.lead("i").over(by) - 1, F.col("i") if width is None else F.lit(width - 1))
+    df = df.withColumn("end", end).withColumn("after", F.abs(F.col("before") + F.col("c")))
+    first = F.col("i") if width is None else F.greatest(F.col("i"), F.lit(0))
+    last = F.when(F.col("after") > LEAST, F.col("end")).otherwise(F.col("i"))
+    df = df.withColumn("cell", F.explode(F.when(first <= last, F.sequence(first, last))))
+    ratio = F.when(F.col("cell") == F.col("i"), F.abs(F.col("before") + F.col("a"))).otherwise(F.col("after"))
+    df = df.withColumn("ratio", ratio).where(F.col("ratio") > LEAST)
+    return df.select(*(F.col(names[c]).alias(c) for c in keep), F.col("cell").cast(kind).alias("i"), F.col("j").cast(kind).alias("j"), "ratio")
+
+
+def grid_join(df: DataFrame, ring: str, sx: float, sy: float, ox: float = 0.0, oy: float = 0.0, keep: list[str] | None = None, key: list[str] | None = None) -> DataFrame:
     """Each row of df once for every cell (i, j) of an infinite grid that its ring overlaps; ratio is the part of the cell.
 
     ring: a column of closed rings of one contour. Null and empty rings, and those
-    without an area, give no rows.
+    without an area, give no rows. key: columns that tell rows apart, if there are any;
+    else rows are numbered as they're read.
     """
-    keep = df.columns if keep is None else keep
-    return _cells(df.select(*keep, F.col(ring).alias("__r")), _units(F.col("__r"), ox, oy, sx, sy), keep, None, None, "long")
+    return _cells(df, ring, (ox, oy, sx, sy), df.columns if keep is None else keep, key, None, None, "long")
 
 
-def grid_join_area(df: DataFrame, ring: str, width: int, height: int, xmin: float, ymin: float, xmax: float, ymax: float, keep: list[str] | None = None) -> DataFrame:
+def grid_join_area(df: DataFrame, ring: str, width: int, height: int, xmin: float, ymin: float, xmax: float, ymax: float, keep: list[str] | None = None, key: list[str] | None = None) -> DataFrame:
     """Like grid_join on a grid of width x height cells between corners; an axis that runs down counts down. What lies outside is cut away."""
-    keep = df.columns if keep is None else keep
-    units = _units(F.col("__r"), xmin, ymin, (xmax - xmin) / width, (ymax - ymin) / height)
-    return _cells(df.select(*keep, F.col(ring).alias("__r")), units, keep, width, height, "int")
+    frame = (xmin, ymin, (xmax - xmin) / width, (ymax - ymin) / height)
+    return _cells(df, ring, frame, df.columns if keep is None else keep, key, width, height, "int")

@@ -1,4 +1,4 @@
-"""A join of boxes that overlap, by cells of a grid."""
+"""Joins of ranges and of boxes that overlap, by cells of a grid."""
 
 from __future__ import annotations
 
@@ -30,3 +30,15 @@ def box_join(left: DataFrame, a: str, right: DataFrame, b: str, cell: float) ->
     corner_i = F.floor(F.greatest(F.col(a)["xmin"], F.col(b)["xmin"]) / cell)
     corner_j = F.floor(F.greatest(F.col(a)["ymin"], F.col(b)["ymin"]) / cell)
     return both.where((F.col("__c")["i"] == corner_i) & (F.col("__c")["j"] == corner_j)).drop("__c")
+
+
+def range_join(left: DataFrame, low: str, high: str, right: DataFrame, value: str, cell: int) -> DataFrame:
+    """Pairs of rows of left and right with low <= value < high, each once.
+
+    Ranges are dealt to the cells of ``cell`` integers that they touch, values to theirs,
+    and both are joined on the cell: an equi-join. cell: about the length of a range. Null
+    bounds and values and empty ranges join nothing.
+    """
+    x = left.where(F.col(low) < F.col(high)).withColumn("__c", F.explode(F.sequence(F.floor(F.col(low) / cell), F.floor((F.col(high) - 1) / cell))))
+    y = right.withColumn("__c", F.floor(F.col(value) / cell))
+    return x.join(y, "__c").where((F.col(value) >= F.col(low)) & (F.col(value) < F.col(high))).drop("__c")

@@ -1,44 +1,30 @@
 """File-level conditions that pixel-level ones imply.
 
-A pixel lies in its file's footprint: the file's box F contains every pixel box P. So
-``P op A`` for some pixel implies a condition on F and A, which filters the catalog
-before any array is read. A negated pixel condition implies another one, or none.
+A pixel lies in its file's footprint: on either axis F.min <= P.min <= P.max <= F.max for
+the file's box F and the pixel's P. So whichever bound of P is at most (or below) a value,
+F.min is too; whichever is at least (or above) it, F.max is too. An operator is a
+conjunction of comparisons, so it implies the conjunction of what each of them does; its
+negation is a disjunction of opposite comparisons, and implies the disjunction. These
+conditions filter the catalog before any array is read.
 """
 
 from __future__ import annotations
 
+import operator
+from functools import reduce
+
 from pyspark.sql import Column
-from pyspark.sql import functions as F
-
-from .geometry import OPERATORS
-
-#: By operator, for itself and for its negation: what is implied for the file, and whether that is negated; None for nothing.
-# P lies in F, so P's greatest x is at
-# most F's and its least x at least F's: what needs P far left allows F to reach left.
-IMPLIED: dict[str, tuple[tuple[str, bool] | None, tuple[str, bool] | None]] = {
-    "overlaps": (("overlaps", False), ("within", True)),
-    "contains": (("contains", False), None),
-    "within": (("overlaps", False), ("within", True)),
-    "same": (("contains", False), None),
-    "overleft": (("right", True), ("overleft", True)),
-    "overright": (("left", True), ("overright", True)),
-    "overabove": (("below", True), ("overabove", True)),
-    "overbelow": (("above", True), ("overbelow", True)),
-    "left": (("overright", True), ("left", True)),
-    "right": (("overleft", True), ("right", True)),
-    "above": (("overbelow", True), ("above", True)),
-    "below": (("overabove", True), ("below", True)),
-    "comm_left": (("comm_left", False), None),
-    "comm_right": (("comm_right", False), None),
-    "comm_above": (("comm_above", False), None),
-    "comm_below": (("comm_below", False), None),
-}
+
+from .geometry import COMPARISONS, OPPOSITE, SIGNS
+
+
+def _implied(bound: str, sign: str, value: Column, file_box: Column) -> Column:
+    """What ``P.bound sign value`` implies for the file."""
+    return SIGNS[sign](file_box[bound[0] + ("min" if sign in ("<", "<=") else "max")], value)
 
 
 def file_condition(op: str, negated: bool, file_box: Column, a: Column) -> Column:
-    """What ``[not] pixel op a`` implies for the file; true where nothing is implied."""
-    found = IMPLIED[op][negated]
-    if found is None:
-        return F.lit(True)
-    e = OPERATORS[found[0]](file_box, a)
-    return ~e if found[1] else e
+    """What ``[not] pixel op a`` implies for the file."""
+    if negated:
+        return reduce(operator.or_, (_implied(x, OPPOSITE[sign], a[y], file_box) for x, sign, y in COMPARISONS[op]))
+    return reduce(operator.and_, (_implied(x, sign, a[y], file_box) for x, sign, y in COMPARISONS[op]))

@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import decode, geoloc, geometry
-from .fixtures import CATALOG, FILES, PIXELS, catalog, corners, file_catalog, files, pixels
+from ..operators import geoloc, geometry
+from .fixtures import CATALOG, FILES, PIXELS, RICH_1X, RICH_2X, catalog, corners, file_catalog, files, pixels, rich
 
 
 def pixel_index(spark, sf_dir):
@@ -27,13 +27,13 @@ def point_geometry(spark, sf_dir):
 
 
 def footprint_geometry(spark, sf_dir):
-    px = pixels(spark, sf_dir, ["file_id", "index", "footprint"], where=F.col("label") == 1)
+    px = pixels(spark, sf_dir, ["file_id", "index", "footprint"])
     return px.select("file_id", "index", F.posexplode("footprint").alias("corner", "p")).select("file_id", "index", "corner", "p.x", "p.y")
 
 
 def simple_footprint(spark, sf_dir):
     """Footprints from four own corners for each pixel, their boxes."""
-    px = pixels(spark, sf_dir, ["file_id", "lon0", "lat0", "line_id", "sample_id", "index"], where=F.col("label") == 2)
+    px = pixels(spark, sf_dir, ["file_id", "lon0", "lat0", "line_id", "sample_id", "index"])
     px = px.withColumnsRenamed({"line_id": "line", "sample_id": "sample"})
     own = F.array(*(F.struct(x.alias("x"), y.alias("y")) for x, y in corners()))
     px = px.select("file_id", "index", own.alias("own"))
@@ -52,30 +52,39 @@ fill_value_null, valid_range, scale_offset, inverse_scale = (_column(c) for c in
 
 
 def const_layer(spark, sf_dir):
-    return pixels(spark, sf_dir, ["file_id", "index", "first"], where=F.col("label") == 0)
+    return pixels(spark, sf_dir, ["file_id", "index", "first"])
 
 
 def multires_layer(spark, sf_dir):
-    """A layer of 4 x 4 values, each for 2 x 2 pixels: the file's first 16."""
-    px = file_catalog(spark, sf_dir).join(files(spark, sf_dir), "file_id").withColumn("coarse", F.slice("raw", 1, 16)).withColumn("index", F.explode(F.sequence(F.lit(0), F.lit(63))))
-    return px.select("file_id", "index", decode.at(F.col("coarse"), decode.replicated(F.col("index"), 8, 2, 2)).alias("value"))
-
-
-def _bytes():
-    """Each file's values as bytes."""
-    return F.transform("raw", lambda x: F.pmod(x, F.lit(256)))
+    """A layer of 4 x 4 values, each for 2 x 2 pixels, over two scan blocks."""
+    return rich(spark, sf_dir, ["file_id", "index", "value"])
 
 
 def bitmap_postfix(spark, sf_dir):
-    """32 pixels of 16 bits."""
-    px = files(spark, sf_dir).withColumn("b", _bytes()).withColumn("index", F.explode(F.sequence(F.lit(0), F.lit(31))))
-    return px.select("file_id", "index", decode.bits_postfix(F.col("b"), F.col("index"), 2).alias("bits"))
+    """16 bits for each pixel, byte by byte."""
+    return rich(spark, sf_dir, ["file_id", "index", "post"]).withColumnRenamed("post", "bits")
 
 
 def bitmap_prefix(spark, sf_dir):
-    """16 pixels of 32 bits, from four planes."""
-    px = files(spark, sf_dir).withColumn("b", _bytes()).withColumn("index", F.explode(F.sequence(F.lit(0), F.lit(15))))
-    return px.select("file_id", "index", decode.bits_prefix(F.col("b"), F.col("index"), 4, 16).alias("bits"))
+    """16 bits for each pixel, from two planes."""
+    return rich(spark, sf_dir, ["file_id", "index", "planes"]).withColumnRenamed("planes", "bits")
+
+
+def size_mismatch(spark, sf_dir):
+    """A layer that hasn't the file's size is null, the file's other layers stay."""
+    return rich(spark, sf_dir, ["file_id", "index", "raw", "misfit"])
+
+
+def scan_geolocation_2x(spark, sf_dir):
+    """Points between coordinates of 2 x 2 pixels, block by block."""
+    px = rich(spark, sf_dir, ["file_id", "index", "point"], RICH_2X)
+    return px.select("file_id", "index", F.round("point.x", 8).alias("x"), F.round("point.y", 8).alias("y"))
+
+
+def scan_footprint_compact(spark, sf_dir):
+    """Rings around pixels, from corners that neighbours of a block share."""
+    px = rich(spark, sf_dir, ["file_id", "index", "footprint"], RICH_1X).select("file_id", "index", F.posexplode("footprint").alias("corner", "p"))
+    return px.select("file_id", "index", "corner", F.round("p.x", 8).alias("x"), F.round("p.y", 8).alias("y"))
 
 
 def shift_longitude(spark, sf_dir):
@@ -87,7 +96,7 @@ AFFINE = (-100.0, 0.25, 0.125, 50.0, -0.0625, -0.25)
 
 
 def affine_geolocation(spark, sf_dir):
-    px = pixels(spark, sf_dir, ["file_id", "index", "line_id", "sample_id"], where=F.col("label") == 4)
+    px = pixels(spark, sf_dir, ["file_id", "index", "line_id", "sample_id"])
     x, y = geoloc.affine(AFFINE, F.col("line_id") + 0.5, F.col("sample_id") + 0.5, hfactor=2, vfactor=2)
     return px.select("file_id", "index", x.alias("x"), y.alias("y"))
 
@@ -111,12 +120,12 @@ def _interpolated(factor: int, offset: float, extra: int):
     n = 8 * factor + extra
 
     def query(spark, sf_dir):
-        px = files(spark, sf_dir).where("file_id % 5 = 0").withColumn("index", F.explode(F.sequence(F.lit(0), F.lit(n * n - 1))))
+        px = files(spark, sf_dir).withColumn("index", F.explode(F.sequence(F.lit(0), F.lit(n * n - 1))))
         row, col = F.floor(F.col("index") / n), F.col("index") % n
         return px.select("file_id", "index", (F.round(geoloc.interpolate(F.col("v"), 8, 8, row, col, factor, offset), 6) + 0.0).alias("value"))
 
     sql = f"""WITH {FILES}, o AS (SELECT r::INT AS r, least(greatest(floor((r + {offset}) / {float(factor)} - 0.5), 0), 6)::INT AS i, (r + {offset}) / {float(factor)} - 0.5 - least(greatest(floor((r + {offset}) / {float(factor)} - 0.5), 0), 6) AS a FROM (SELECT unnest(range({n})) AS r)),
-d AS (SELECT file_id, y.r AS r, x.c AS c, (1 - y.a) * embedding[y.i * 8 + x.c + 1]::DOUBLE + y.a * embedding[(y.i + 1) * 8 + x.c + 1]::DOUBLE AS v FROM g, o y, (SELECT unnest(range(8)) AS c) x WHERE file_id % 5 = 0),
+d AS (SELECT file_id, y.r AS r, x.c AS c, (1 - y.a) * embedding[y.i * 8 + x.c + 1]::DOUBLE + y.a * embedding[(y.i + 1) * 8 + x.c + 1]::DOUBLE AS v FROM g, o y, (SELECT unnest(range(8)) AS c) x),
 l AS (SELECT file_id, r, list(v ORDER BY c) AS v FROM d GROUP BY 1, 2)
 SELECT file_id, l.r * {n} + o.r AS index, round((1 - a) * v[i + 1] + a * v[i + 2], 6) + 0.0::DOUBLE AS value FROM l, o"""
     return query, sql
@@ -129,26 +138,57 @@ INTERPOLATED = {
 
 QUERIES = {
     f.__name__: f
-    for f in (pixel_index, catalog_columns, point_geometry, footprint_geometry, simple_footprint, const_layer, multires_layer, bitmap_postfix, bitmap_prefix, shift_longitude, affine_geolocation, sinusoidal_inverse, tile_geolocation_reuse)
+    for f in (pixel_index, catalog_columns, point_geometry, footprint_geometry, simple_footprint, const_layer, multires_layer, bitmap_postfix, bitmap_prefix, size_mismatch, scan_geolocation_2x, scan_footprint_compact, shift_longitude, affine_geolocation, sinusoidal_inverse, tile_geolocation_reuse)
 } | {"fill_value_null": fill_value_null, "valid_range": valid_range, "scale_offset": scale_offset, "inverse_scale": inverse_scale} | {k: q for k, (q, _) in INTERPOLATED.items()}
 
 _CORNER = "(VALUES (0, 0, 0), (1, 1, 0), (2, 1, 1), (3, 0, 1), (4, 0, 0)) k(corner, dx, dy)"
+
+
+#: Coordinates that are places.
+_IN = "x BETWEEN -180 AND 360 AND y BETWEEN -90 AND 90"
+
+
+def _byte(k: int) -> str:
+    """A byte of a pixel's bit fields."""
+    return f"(((raw * {k}) % 256 + 256) % 256)"
+
+
+def _between(axis: str, samples: int, first: int | None, block: str) -> str:
+    """A coordinate between the four around (f, g), of layers that begin at ``first`` of the values, or at the last and run back."""
+    def value(dr: int, dc: int) -> str:
+        at = f"{block} + (r + {dr}) * {samples} + c + {dc}"
+        at = f"{first} + {at} + 1" if first is not None else f"64 - ({at})"
+        v = f"({'lon0' if axis == 'x' else 'lat0'} + floor(embedding[{at}]::DOUBLE * 1000) / 1000)"
+        return f"(CASE WHEN {v} < 0 THEN {v} + 360 ELSE {v} END)" if axis == "x" else v
+
+    return f"round((1 - (f - r)) * ((1 - (g - c)) * {value(0, 0)} + (g - c) * {value(0, 1)}) + (f - r) * ((1 - (g - c)) * {value(1, 0)} + (g - c) * {value(1, 1)}), 8) AS {axis}"
+
+
 ORACLES = {
     "pixel_index": f"WITH {PIXELS} SELECT file_id, idx AS index, line_id, sample_id FROM px",
     "catalog_columns": f"WITH {PIXELS} SELECT file_id, label, lon0, idx AS index FROM px WHERE label < 5",
     "point_geometry": f"WITH {PIXELS}, q AS (SELECT *, CASE WHEN lat > 60 THEN lat + 60 ELSE lat END AS y FROM px) SELECT file_id, idx AS index, CASE WHEN y BETWEEN -90 AND 90 THEN lon END AS x, CASE WHEN y BETWEEN -90 AND 90 THEN y END AS y FROM q",
-    "footprint_geometry": f"WITH {PIXELS} SELECT file_id, idx AS index, corner, lon - 0.0625 + dx * 0.125 AS x, lat + 0.0625 - dy * 0.125 AS y FROM px, {_CORNER} WHERE label = 1",
-    "simple_footprint": f"WITH {PIXELS} SELECT file_id, idx AS index, lon - 0.0625 AS xmin, lat - 0.0625 AS ymin, lon + 0.0625 AS xmax, lat + 0.0625 AS ymax FROM px WHERE label = 2",
+    "footprint_geometry": f"WITH {PIXELS} SELECT file_id, idx AS index, corner, lon - 0.0625 + dx * 0.125 AS x, lat + 0.0625 - dy * 0.125 AS y FROM px, {_CORNER}",
+    "simple_footprint": f"WITH {PIXELS} SELECT file_id, idx AS index, lon - 0.0625 AS xmin, lat - 0.0625 AS ymin, lon + 0.0625 AS xmax, lat + 0.0625 AS ymax FROM px",
     "fill_value_null": f"WITH {PIXELS} SELECT file_id, idx AS index, nullif(raw, 100) AS value FROM px",
     "valid_range": f"WITH {PIXELS} SELECT file_id, idx AS index, CASE WHEN raw >= -150 AND raw <= 150 THEN raw::DOUBLE END AS value FROM px",
     "scale_offset": f"WITH {PIXELS} SELECT file_id, idx AS index, (raw - 4) / 2 AS value FROM px",
     "inverse_scale": f"WITH {PIXELS} SELECT file_id, idx AS index, (raw + 4) / 4 AS value FROM px",
-    "const_layer": f"WITH {PIXELS} SELECT p.file_id, p.idx AS index, q.raw AS first FROM px p JOIN px q ON p.file_id = q.file_id AND q.idx = p.idx // 32 * 32 WHERE p.label = 0",
-    "multires_layer": f"WITH {PIXELS} SELECT p.file_id, p.idx AS index, q.raw AS value FROM px p JOIN px q ON p.file_id = q.file_id AND q.idx = (p.line_id // 2) * 4 + p.sample_id // 2",
-    "bitmap_postfix": f"WITH {PIXELS} SELECT file_id, idx // 2 AS index, sum((((raw % 256) + 256) % 256) * CASE idx % 2 WHEN 0 THEN 256 ELSE 1 END)::BIGINT AS bits FROM px GROUP BY 1, 2",
-    "bitmap_prefix": f"WITH {PIXELS} SELECT file_id, idx % 16 AS index, sum((((raw % 256) + 256) % 256)::BIGINT * (256 ** (3 - idx // 16))::BIGINT)::BIGINT AS bits FROM px GROUP BY 1, 2",
+    "const_layer": f"WITH {PIXELS}, w AS (SELECT vec_id, embedding FROM embeddings) SELECT file_id, idx AS index, floor(embedding[idx // 32 * 32 + 1]::DOUBLE * 1000)::INT AS first FROM px JOIN w ON vec_id = file_id",
+    "multires_layer": f"WITH {PIXELS}, w AS (SELECT vec_id, embedding FROM embeddings) SELECT file_id, idx AS index, floor(embedding[(line_id // 2) * 4 + sample_id // 2 + 1]::DOUBLE * 1000)::INT AS value FROM px JOIN w ON vec_id = file_id",
+    "bitmap_postfix": f"WITH {PIXELS} SELECT file_id, idx AS index, ({_byte(1)} * 256 + {_byte(7)})::BIGINT AS bits FROM px",
+    "bitmap_prefix": f"WITH {PIXELS} SELECT file_id, idx AS index, ({_byte(3)} * 256 + {_byte(5)})::BIGINT AS bits FROM px",
+    "size_mismatch": f"WITH {PIXELS} SELECT file_id, idx AS index, raw, CASE WHEN file_id % 3 <> 0 THEN raw END AS misfit FROM px",
+    "scan_geolocation_2x": f"""WITH {FILES}, p AS (SELECT file_id, lon0, lat0, i, i // 32 AS block, least(greatest(floor((i // 8 % 4 + 0.5) / 2 - 0.5), 0), 0)::INT AS r, least(greatest(floor((i % 8 + 0.5) / 2 - 0.5), 0), 2)::INT AS c,
+  embedding, (i // 8 % 4 + 0.5) / 2 - 0.5 AS f, (i % 8 + 0.5) / 2 - 0.5 AS g FROM g, (SELECT unnest(range(64)) AS i) WHERE file_id % 5 <> 0),
+q AS (SELECT file_id, i::INT AS index, {_between('x', 4, 0, 'block * 8')}, {_between('y', 4, 16, 'block * 8')} FROM p)
+SELECT file_id, index, CASE WHEN {_IN} THEN x END AS x, CASE WHEN {_IN} THEN y END AS y FROM q""",
+    "scan_footprint_compact": f"""WITH {FILES}, p AS (SELECT file_id, lon0, lat0, i, corner, i // 32 AS block, least(greatest(floor(i // 8 % 4 + dy - 0.5), 0), 2)::INT AS r, least(greatest(floor(i % 8 + dx - 0.5), 0), 6)::INT AS c,
+  embedding, i // 8 % 4 + dy - 0.5 AS f, i % 8 + dx - 0.5 AS g FROM g, (SELECT unnest(range(64)) AS i), {_CORNER}),
+q AS (SELECT file_id, i::INT AS index, corner, {_between('x', 8, 0, 'block * 32')}, {_between('y', 8, None, 'block * 32')} FROM p)
+SELECT file_id, index, corner, x, y FROM q QUALIFY bool_and({_IN}) OVER (PARTITION BY file_id, index)""",
     "shift_longitude": f"WITH {CATALOG} SELECT id, xmin + 360 * (xmin < 0)::INT AS lon FROM c",
-    "affine_geolocation": f"WITH {PIXELS} SELECT file_id, idx AS index, -100 + 0.125 * (sample_id + 0.5) + 0.0625 * (line_id + 0.5) AS x, 50 - 0.03125 * (sample_id + 0.5) - 0.125 * (line_id + 0.5) AS y FROM px WHERE label = 4",
+    "affine_geolocation": f"WITH {PIXELS} SELECT file_id, idx AS index, -100 + 0.125 * (sample_id + 0.5) + 0.0625 * (line_id + 0.5) AS x, 50 - 0.03125 * (sample_id + 0.5) - 0.125 * (line_id + 0.5) AS y FROM px",
     "sinusoidal_inverse": f"WITH {CATALOG} SELECT id, round(degrees(xmin * 40000 / (6371007.181 * cos(ymin * 100000 / 6371007.181))), 6) AS lon, round(degrees(ymin * 100000 / 6371007.181), 6) AS lat FROM c",
     "tile_geolocation_reuse": f"WITH {CATALOG} SELECT id, tile, i::INT AS index, substr(tile, 2, 2)::INT * 10.0::DOUBLE + i * 2.5::DOUBLE - 180 AS lon FROM c, (SELECT unnest(range(4)) AS i)",
 } | {k: sql for k, (_, sql) in INTERPOLATED.items()}

@@ -7,11 +7,13 @@ exact. Each DataFrame has the same definition as DuckDB SQL.
 
 from __future__ import annotations
 
+import dataclasses
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import geometry
-from ..spec import Column, Role, Table
+from ..spec import Column, Geolocation, Role, Table
 
 LINES = SAMPLES = 8
 
@@ -92,3 +94,51 @@ def pixels(spark: SparkSession, sf_dir: str, columns: list[str], **options) -> D
 
     table = options.pop("table", TABLE)
     return pixel_scan(file_catalog(spark, sf_dir), files(spark, sf_dir), table, columns, point=centre(), corners=corners(), **options)
+
+
+def rich_catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The files' catalog with paths of two products, some of them missing."""
+    def path(name: str, every: int):
+        return F.when(F.col("file_id") % every != 0, F.concat(F.lit(name + "/"), F.col("file_id").cast("string"))).alias(name)
+
+    return file_catalog(spark, sf_dir).select("file_id", "label", path("path_a", 7), path("path_geo", 5))
+
+
+def rich_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files of 8 x 8 pixels with layers of all shapes, made from ``raw``.
+
+    coarse: 4 x 4 values. post: 2 bytes for each pixel. planes: 2 planes of bytes. bands:
+    3 planes, with attributes, the scales missing in every fourth file. misfit: too short
+    in every third. lat2 and lon2, lat1 and lon1: coordinates of 2 x 2 pixels and of each.
+    """
+    f = files(spark, sf_dir).select("file_id", "raw")
+    f = f.withColumns({"lon0": (F.col("file_id") * 37 % 1440) / 4.0 - 180, "lat0": (F.col("file_id") * 53 % 640) / 4.0 - 80})
+    byte = lambda x, k: F.pmod(x * k, F.lit(256))
+    raw, near = F.col("raw"), lambda a, origin: F.transform(a, lambda x: F.col(origin) + x / 1000.0)
+    return f.select(
+        "file_id", "raw", F.slice(raw, 1, 16).alias("coarse"), F.flatten(F.transform(raw, lambda x: F.array(byte(x, 1), byte(x, 7)))).alias("post"),
+        F.concat(F.transform(raw, lambda x: byte(x, 3)), F.transform(raw, lambda x: byte(x, 5))).alias("planes"),
+        F.concat(raw, F.transform(raw, lambda x: x + 1000), F.transform(raw, lambda x: x * 2)).alias("bands"),
+        F.when(F.col("file_id") % 4 != 0, F.array(*map(F.lit, (0.5, 0.25, 2.0)))).alias("band_scales"), F.array(*map(F.lit, (1.0, 2.0, 3.0))).alias("band_offsets"),
+        F.when(F.col("file_id") % 3 == 0, F.slice(raw, 1, 60)).otherwise(raw).alias("misfit"),
+        near(F.slice(raw, 1, 16), "lon0").alias("lon2"), near(F.slice(raw, 17, 16), "lat0").alias("lat2"), near(raw, "lon0").alias("lon1"), near(F.reverse(raw), "lat0").alias("lat1"),
+    )
+
+
+RICH = Table(
+    "rich",
+    (
+        Column("file_id", Role.CATALOG), Column("label", Role.CATALOG), Column("index", Role.INDEX), Column("point", Role.POINT), Column("footprint", Role.FOOTPRINT),
+        Column("raw", type="int4"), Column("value", type="int4", dataset="coarse", hfactor=2, vfactor=2), Column("post", type="bit", bits=16), Column("planes", type="bit", bits=16, bitmap_prefix=True),
+        Column("band", dataset="bands", prefix=(1,), dims=(3,), scale_name="band_scales", offset_name="band_offsets"), Column("misfit", type="int4"), Column("a", type="int4", dataset="raw", fill=100, product="path_a"),
+    ),
+    shift_longitude=True,
+)
+RICH_2X = dataclasses.replace(RICH, geolocation=Geolocation("lat2", "lon2", 2, "path_geo"))
+RICH_1X = dataclasses.replace(RICH, geolocation=Geolocation("lat1", "lon1"))
+
+
+def rich(spark: SparkSession, sf_dir: str, columns: list[str], table: Table = RICH, **options) -> DataFrame:
+    from ..sources.scan import pixel_scan
+
+    return pixel_scan(rich_catalog(spark, sf_dir), rich_files(spark, sf_dir), table, columns, **options)

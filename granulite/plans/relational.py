@@ -6,8 +6,9 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import geometry
-from ..operators.joins import box_join
-from .fixtures import CATALOG, FILES, PIXELS, catalog, file_catalog, pixels, read
+from ..operators.joins import box_join, range_join
+from ..sources.scan import pixel_scan
+from .fixtures import CATALOG, FILES, PIXELS, RICH, catalog, file_catalog, pixels, read, rich_catalog, rich_files
 
 
 def catalog_filter(spark, sf_dir):
@@ -24,7 +25,7 @@ def dataset_is_null(spark, sf_dir):
 
 
 def expr_literals(spark, sf_dir):
-    c = catalog(spark, sf_dir).where("id % 20 = 0")
+    c = catalog(spark, sf_dir)
     return c.select("id", F.lit(3).alias("i"), F.lit(2.5).alias("d"), F.lit("it's").alias("s"), F.lit(True).alias("b"), F.lit(None).cast("int").alias("n"), F.col("price").eqNullSafe(F.lit(float("nan"))).alias("is_nan"))
 
 
@@ -76,8 +77,20 @@ def _items(spark, sf_dir):
 def catalog_theta_join(spark, sf_dir):
     """Ranges of ids, each joined to the catalog rows that lie in it."""
     outer = read(spark, sf_dir, "nation").select("n_nationkey", (F.col("n_nationkey") * 40).cast("long").alias("lo"), (F.col("n_nationkey") * 40 + 25).cast("long").alias("hi"))
-    c = catalog(spark, sf_dir).select("id", "tile")
-    return c.join(F.broadcast(outer), (c.id >= outer.lo) & (c.id < outer.hi)).select("n_nationkey", "id", "tile")  # 25 nations
+    return range_join(outer, "lo", "hi", catalog(spark, sf_dir).select("id", "tile"), "id", 40).select("n_nationkey", "id", "tile")
+
+
+def scan_theta_join(spark, sf_dir):
+    """Ranges of file ids choose the files whose pixels are scanned."""
+    outer = read(spark, sf_dir, "nation").select("n_nationkey", (F.col("n_nationkey") * 20).cast("long").alias("lo"), (F.col("n_nationkey") * 20 + 30).cast("long").alias("hi"))
+    chosen = range_join(outer, "lo", "hi", rich_catalog(spark, sf_dir), "file_id", 30)
+    return pixel_scan(chosen, rich_files(spark, sf_dir), RICH, ["file_id", "index", "value"], carry=("n_nationkey",))
+
+
+def scan_equi_join(spark, sf_dir):
+    """Nations whose key is a file's label choose the files whose pixels are scanned."""
+    chosen = read(spark, sf_dir, "nation").where("n_regionkey < 3").withColumnRenamed("n_nationkey", "label").join(rich_catalog(spark, sf_dir), "label")
+    return pixel_scan(chosen, rich_files(spark, sf_dir), RICH, ["file_id", "index", "raw"], carry=("n_name",))
 
 
 def catalog_equi_join(spark, sf_dir):
@@ -88,7 +101,7 @@ def catalog_equi_join(spark, sf_dir):
 def spatial_join(spark, sf_dir):
     """Files whose box overlaps a granule's box."""
     f = file_catalog(spark, sf_dir).select("file_id", geometry.box(F.col("lon0"), F.col("lat0"), F.col("lon0") + 1, F.col("lat0") + 1).alias("f"))
-    c = catalog(spark, sf_dir).where("id % 4 = 0").select("id", geometry.box(F.col("xmin"), F.col("ymin"), F.col("xmax"), F.col("ymax")).alias("g"))
+    c = catalog(spark, sf_dir).select("id", geometry.box(F.col("xmin"), F.col("ymin"), F.col("xmax"), F.col("ymax")).alias("g"))
     return box_join(f, "f", c, "g", cell=4.0).select("file_id", "id")
 
 
@@ -167,7 +180,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         catalog_filter, dataset_not_null, dataset_is_null, expr_literals, expr_functions, expr_operators, expr_is_distinct, expr_array_subscript, expr_any_all, expr_array, expr_boolean, expr_null_test,
-        catalog_theta_join, catalog_equi_join, spatial_join, avg_quality_by_file, count_null_by_file, max_by_file, distinct_files, agg_rollup, agg_cube, count_distinct, window_rank, window_frame, order_by_time, topk, set_intersect, set_except,
+        catalog_theta_join, scan_theta_join, scan_equi_join, catalog_equi_join, spatial_join, avg_quality_by_file, count_null_by_file, max_by_file, distinct_files, agg_rollup, agg_cube, count_distinct, window_rank, window_frame, order_by_time, topk, set_intersect, set_except,
     )
 } | {"join_inner": _join("inner"), "join_left": _join("left"), "join_semi": _join("left_semi"), "join_anti": _join("left_anti")}
 
@@ -178,7 +191,7 @@ ORACLES = {
     "catalog_filter": f"WITH {PIXELS} SELECT file_id, idx AS index, v FROM px WHERE label = 7 AND lat0 > 0",
     "dataset_not_null": f"WITH {_P} SELECT file_id, idx AS index, filled FROM q WHERE filled IS NOT NULL",
     "dataset_is_null": f"WITH {_P} SELECT file_id, idx AS index FROM q WHERE filled IS NULL",
-    "expr_literals": f"WITH {CATALOG} SELECT id, 3 AS i, 2.5::DOUBLE AS d, 'it''s' AS s, true AS b, NULL::INT AS n, isnan(price) AS is_nan FROM c WHERE id % 20 = 0",
+    "expr_literals": f"WITH {CATALOG} SELECT id, 3 AS i, 2.5::DOUBLE AS d, 'it''s' AS s, true AS b, NULL::INT AS n, isnan(price) AS is_nan FROM c",
     "expr_functions": f"WITH {CATALOG} SELECT id, upper(tile) AS u, substr(priority, 3, 4) AS s, length(priority)::INT AS n, year(starttime) AS y, trunc(xmin)::INT AS x, abs(ymin) AS a, floor(ymin)::BIGINT AS f, coalesce(mod03, mod09, 'none') AS c FROM c",
     "expr_operators": f"WITH {CATALOG} SELECT id, -xmin AS neg, xmax - xmin AS width, id * 2 + 1 AS odd, id & 12 AS bits FROM c WHERE id % 3 = 1 AND xmin + 10 < ymin * 2",
     "expr_is_distinct": f"WITH {CATALOG} SELECT id FROM c WHERE substr(mod03, 7, 20) IS DISTINCT FROM substr(mod09, 7, 20)",
@@ -188,8 +201,10 @@ ORACLES = {
     "expr_boolean": f"WITH {CATALOG} SELECT id FROM c WHERE (is_terra OR ymin > 50) AND NOT xmin < 0",
     "expr_null_test": f"WITH {CATALOG} SELECT id FROM c WHERE mod03 IS NULL AND mod09 IS NOT NULL",
     "catalog_theta_join": f"WITH {CATALOG} SELECT n_nationkey, id, tile FROM c JOIN nation ON id >= n_nationkey * 40 AND id < n_nationkey * 40 + 25",
+    "scan_theta_join": f"WITH {PIXELS}, w AS (SELECT vec_id, embedding FROM embeddings) SELECT n_nationkey, file_id, idx AS index, floor(embedding[(line_id // 2) * 4 + sample_id // 2 + 1]::DOUBLE * 1000)::INT AS value FROM px JOIN w ON vec_id = file_id JOIN nation ON file_id >= n_nationkey * 20 AND file_id < n_nationkey * 20 + 30",
+    "scan_equi_join": f"WITH {PIXELS} SELECT n_name, file_id, idx AS index, raw FROM px JOIN nation ON n_nationkey = label WHERE n_regionkey < 3",
     "catalog_equi_join": f"WITH {CATALOG} SELECT tile, count(*) AS n, sum(l_quantity::BIGINT)::BIGINT AS q FROM c JOIN lineitem ON id = l_orderkey WHERE is_terra GROUP BY 1",
-    "spatial_join": f"WITH {CATALOG}, {FILES} SELECT file_id, id FROM c JOIN g ON xmin <= lon0 + 1 AND xmax >= lon0 AND ymin <= lat0 + 1 AND ymax >= lat0 WHERE id % 4 = 0",
+    "spatial_join": f"WITH {CATALOG}, {FILES} SELECT file_id, id FROM c JOIN g ON xmin <= lon0 + 1 AND xmax >= lon0 AND ymin <= lat0 + 1 AND ymax >= lat0",
     "avg_quality_by_file": "SELECT l_orderkey AS file_id, round(avg(((l_partkey & 1073741820) % 8 = 0)::INT), 6) AS quality FROM lineitem GROUP BY 1",
     "count_null_by_file": f"WITH {_P} SELECT file_id, count(*) FILTER (WHERE filled IS NULL) AS filled, count(*) FILTER (WHERE ranged IS NULL) AS ranged, count(*) AS n FROM q GROUP BY 1",
     "max_by_file": f"WITH {PIXELS} SELECT file_id, max(v) AS top, arg_max(idx, v) AS at FROM px GROUP BY 1",

@@ -10,14 +10,21 @@ from pyspark.sql import functions as F
 
 from granulite.functions import geometry_text
 from granulite.operators import aggregates, decode, geoloc, geometry, gridjoin, prune
-from granulite.operators.joins import box_join
+from granulite.operators.joins import box_join, range_join
 from granulite.sources import catalog as cat
 from granulite.sources.drivers import chunks
-from granulite.spec import Column, Role, Table, column_of
+from granulite.sources.scan import Geo, explained, pixel_scan
+from granulite.spec import Column, Geolocation, Role, Table, column_of
 
-S = [0.0, 100.0, 150.0, 100.0, 200.0, 250.0, 150.0, 250.0, 300.0]
-FOOT1 = [-100, 0, 75, 125, 0, 100, 175, 225, 75, 175, 250, 300, 125, 225, 300, 350]
-POINT2 = [-50, 0, 50, 87.5, 112.5, 137.5, 0, 50, 100, 137.5, 162.5, 187.5, 50, 100, 150, 187.5, 212.5, 237.5, 87.5, 137.5, 187.5, 225, 250, 275, 112.5, 162.5, 212.5, 250, 275, 300, 137.5, 187.5, 237.5, 275, 300, 325]
+def bilinear(source, lines, samples, k, offset, extra):
+    """Interpolation point by point: along each axis a line through the nearest two values."""
+    def along(values, at):
+        i = min(max(math.floor(at), 0), len(values) - 2)
+        return values[i] + (values[i + 1] - values[i]) * (at - i)
+
+    rows = [source[i * samples : (i + 1) * samples] for i in range(lines)]
+    axis = lambda n: [(r + offset) / k - 0.5 for r in range(n * k + extra)]
+    return [along([along(row, c) for row in rows], r) for r in axis(lines) for c in axis(samples)]
 
 
 def grid(spark, source, lines, samples, k, offset, extra):
@@ -27,10 +34,11 @@ def grid(spark, source, lines, samples, k, offset, extra):
     return [r.v for r in df.select("i", v.alias("v")).orderBy("i").collect()]
 
 
-def test_interpolation_golden(spark):
-    assert grid(spark, S, 3, 3, 1, geoloc.CORNER, 1) == FOOT1
-    assert grid(spark, S, 3, 3, 2, geoloc.CENTRE, 0) == POINT2
-    assert grid(spark, S, 3, 3, 2, geoloc.CORNER, 1)[:7] == [-100, -50, 0, 50, 75, 100, 125]
+@pytest.mark.parametrize("k, offset, extra", [(1, 0.0, 1), (2, 0.0, 1), (4, 0.0, 1), (2, 0.5, 0), (4, 0.5, 0), (3, 0.5, 0)])
+def test_interpolation_against_points(spark, k, offset, extra):
+    r = random.Random(k)
+    source = [r.uniform(-50, 50) for _ in range(4 * 5)]
+    assert grid(spark, source, 4, 5, k, offset, extra) == pytest.approx(bilinear(source, 4, 5, k, offset, extra))
 
 
 @pytest.mark.parametrize("k", [1, 3, 4])
@@ -132,6 +140,86 @@ def test_short_last_block(spark):
     assert [(r.chunk_start, r.v) for r in chunks(df, t, ["v"]).collect()] == [(0, [1, 2, 3, 4]), (4, [5, 6])]
 
 
+def scanned(spark, table, columns, rows, schema, **options):
+    files_ = spark.createDataFrame(rows, schema)
+    catalog_ = spark.createDataFrame([(r[0], None if r[0] == 9 else "p") for r in rows], "file_id int, path string")
+    return [tuple(r) for r in pixel_scan(catalog_, files_, table, columns, **options).collect()]
+
+
+def test_layers_of_mixed_shapes(spark):
+    """Full, coarse, bit and N-d layers of a file of 6 lines in blocks of 4, the last one short; layers that are missing or don't fit."""
+    t = Table("t", (
+        Column("file_id", Role.CATALOG), Column("index", Role.INDEX), Column("v", type="int4"), Column("coarse", type="int4", hfactor=2, vfactor=2), Column("b", type="bit", bits=16), Column("p", type="bit", bits=12, bitmap_prefix=True),
+        Column("nd", type="int4", prefix=(1, 0), dims=(2, 2)), Column("wide", type="bit", bits=64), Column("a", type="int4", dataset="v", product="path"), Column("s", dataset="v", scale_name="scales"),
+    ), lines=4, samples=4)
+    v = list(range(24))
+    full = (1, v, list(range(100, 106)), [x for i in v for x in (i, 255)], [*v, *(x + 100 for x in v)], [x for k in range(4) for x in (1000 * k + i for i in v)], [1 + k for i in v for k in range(8)], [3.0])
+    poor = (9, v, None, [1, 2], v, v, [], None)
+    none = (2, None, [1], [1], [1], [1], [1], [1.0])
+    schema = "file_id int, v array<int>, coarse array<int>, b array<int>, p array<int>, nd array<int>, wide array<int>, scales array<double>"
+    got = scanned(spark, t, ["file_id", "index", "v", "coarse", "b", "p", "nd", "wide", "a", "s"], [full, poor, none], schema)
+    want = [(1, i, i, 100 + (i // 4 // 2) * 2 + i % 4 // 2, i * 256 + 255, i * 256 + i + 100, 2000 + i, bytes(range(1, 9)), i, 3.0 * i) for i in v]
+    want += [(9, i, i, None, None, None, None, None, None, float(i)) for i in v]
+    assert sorted(got, key=str) == sorted(want, key=str)
+    assert len(scanned(spark, t, ["index"], [full, none], schema)) == 24  # no layer is asked for: the size still counts
+    assert {r[0] for r in scanned(spark, t, ["file_id", "a"], [full, poor], schema, present=("a",))} == {1}
+
+
+@pytest.mark.parametrize("factor", [1, 2])
+def test_geolocation_of_layers(spark, factor):
+    """Points and footprints against interpolation block by block; a file without coordinates is left out."""
+    t = Table("t", (Column("file_id", Role.CATALOG), Column("index", Role.INDEX), Column("point", Role.POINT), Column("footprint", Role.FOOTPRINT)), lines=4, samples=4, shift_longitude=True, geolocation=Geolocation(factor=factor, product="path"))
+    r, n = random.Random(factor), (8 // factor) * (4 // factor)
+    lat, lon = [r.uniform(10, 20) for _ in range(n)], [r.uniform(-30, -20) for _ in range(n)]
+    rows = [(1, lat, lon), (2, lat, lon[1:]), (3, None, lon), (9, lat, lon)]
+    got = scanned(spark, t, ["file_id", "index", "point", "footprint"], rows, "file_id int, lat array<double>, lon array<double>")
+    assert sorted(x[:2] for x in got) == [(1, i) for i in range(32)]
+    per = (4 // factor) * (4 // factor)
+    for _, i, point, ring in got:
+        block = slice(i // 16 * per, (i // 16 + 1) * per)
+        shape = (4 // factor, 4 // factor, factor)
+        if factor == 1:
+            assert tuple(point) == pytest.approx((lon[i] + 360, lat[i]))
+        else:
+            assert tuple(point) == pytest.approx([bilinear(x[block], *shape, 0.5, 0)[i % 16] + d for x, d in ((lon, 360), (lat, 0))])
+        y, x = i % 16 // 4, i % 4
+        for p, (dy, dx) in zip(ring, ((0, 0), (0, 1), (1, 1), (1, 0), (0, 0))):
+            assert tuple(p) == pytest.approx([bilinear(s[block], *shape, 0.0, 1)[(y + dy) * 5 + x + dx] + d for s, d in ((lon, 360), (lat, 0))])
+
+
+def test_scan_is_explained(spark):
+    df = spark.createDataFrame([(1, [1, 2, 3, 4], "p", 0.0)], "file_id int, v array<int>, path string, x double")
+    t = Table("t", (Column("file_id", Role.CATALOG), Column("v", type="int4", product="path")), lines=2, samples=2)
+    geo = (Geo("left", geometry.box(0, 0, 1, 1), Role.POINT, True),)
+    said = explained(df.drop("v"), df.select("file_id", "v"), t, ["file_id"], where=F.col("x") < 1, geo=geo, present=("v",), point=(F.col("x"), F.col("x")))
+    assert said["active columns"] == "file_id, v" and said["geometry predicates"] == "not point left" and "isnotnull(path" in said["catalog query"] and "Generate" in said["plan"]
+
+
+def test_merged_catalog(spark):
+    old = spark.createDataFrame([("s1", None, "a", "x"), ("s2", 1, "b", "y")], "start string, box int, mod03 string, note string")
+    new = spark.createDataFrame([("s1", None, "mod03", "c"), ("s1", None, "mod09", "d"), ("s3", 2, "mod03", "e")], "start string, box int, product string, path string")
+    got = cat.merged(old, new, ["start", "box"], ["mod03", "mod09"])
+    assert got.columns == ["start", "box", "note", "mod03", "mod09"]
+    assert sorted(map(tuple, got.collect())) == [("s1", None, "x", "c", "d"), ("s2", 1, "y", "b", None), ("s3", 2, None, "e", None)]
+
+
+def test_polygons_with_holes_raise(spark):
+    hole = "POLYGON((0 0,9 0,9 9,0 0),(1 1,2 1,2 2,1 1))"
+    df = spark.createDataFrame([("POLYGON EMPTY",), (None,), ("POLYGON((0 0,1 0,1 1,0 0))",)], "w string")
+    assert [r.r is None for r in df.select(geometry_text.ring_from_text(F.col("w"), strict=True).alias("r")).collect()] == [True, True, False]
+    for bad in (hole, "POINT(1 2)"):
+        with pytest.raises(Exception, match="one contour"):
+            spark.createDataFrame([(bad,)], "w string").select(geometry_text.ring_from_text(F.col("w"), strict=True)).collect()
+
+
+def test_range_join(spark):
+    r = random.Random(4)
+    ranges = [(i, (x := r.randint(-50, 50)), x + r.randint(-3, 30)) for i in range(40)]
+    values = [(r.randint(-60, 90),) for _ in range(80)]
+    got = range_join(spark.createDataFrame(ranges, "i int, lo long, hi long"), "lo", "hi", spark.createDataFrame(values, "v long"), "v", 7)
+    assert sorted(map(tuple, got.select("i", "v").collect())) == sorted((i, v) for i, lo, hi in ranges for v, in values if lo <= v < hi)
+
+
 def test_specs_are_checked():
     with pytest.raises(ValueError):
         column_of("x", scal="1")
@@ -142,6 +230,9 @@ def test_specs_are_checked():
     with pytest.raises(ValueError):
         Table("t", (Column("v", hfactor=3),))
     c = column_of("b", "float8", cat_name="mod03", dataset="D", prefix="1, 2", dims="3 4", factor="2", inverse_scale="true")
+    assert column_of("r", scale="reflectance_scales").scale_name == "reflectance_scales"
+    with pytest.raises(ValueError):
+        chunks(None, Table("t", (Column("v"),), driver="tape"), ["v"])
     assert (c.product, c.layer, c.prefix, c.hfactor, c.vfactor, c.inverse_scale) == ("mod03", "D", (1, 2), 2, 2, True)
 
 
@@ -160,7 +251,9 @@ def test_text(spark):
 
 def test_catalog_rules(spark):
     df = spark.createDataFrame([(-10.0, 5.0)], "w double, e double")
-    assert tuple(df.select(cat.bbox_footprint(F.col("w"), F.col("e"), F.lit(0.0), F.lit(1.0)).alias("b")).first().b) == (350.0, 0.0, 5.0, 1.0)
+    assert tuple(df.select(cat.bbox_footprint(F.col("w"), F.col("e"), F.lit(0.0), F.lit(1.0)).alias("b")).first().b) == (0.0, 0.0, 360.0, 1.0)
+    box = lambda w, e: tuple(df.select(cat.bbox_footprint(F.lit(w), F.lit(e), F.lit(0.0), F.lit(1.0)).alias("b")).first().b)[::2]
+    assert box(-10.0, -5.0) == (350.0, 355.0) and box(5.0, 10.0) == (5.0, 10.0) and box(170.0, -170.0) == (170.0, 190.0)
     with pytest.raises(ValueError):
         cat.scan(df, [])
 
