@@ -38,6 +38,8 @@ from .memory import trim
 BLOCK_BYTES, MOST_BYTES, GROW_FROM, PART_BLOCKS = 4 << 20, 16 << 20, 8 << 30, 3
 #: Rows that a block sends at most in one hop; partitions of an exchange at most.
 HOP, TASKS = 4096, 32768
+#: Memory from which a worker gives back between blocks what it doesn't use.
+WORKER_BYTES = 160 << 20
 #: Bits of a key: enough to count by; enough to filter by (a key takes about four bytes).
 COUNT_BITS, FILTER_BITS = 58, 46
 _U = np.uint64
@@ -113,38 +115,50 @@ def _width(a: np.ndarray) -> int:
     return max(1, (int(a.max()).bit_length() + 7) // 8) if len(a) else 1
 
 
-#: In place of a width: most values are the first, and a bit tells which aren't.
-_MOSTLY = 255
+#: In place of a width: most values are one, and a bit tells which aren't; low bytes and the rest stand apart.
+_MOSTLY, _APART = 255, 254
+
+
+def _coded(a: np.ndarray) -> bytes:
+    """An array: as wide as its largest value, or by what is rare in it."""
+    n, width = len(a), _width(a)
+    if not n:
+        return b"\x01"
+    usual = np.partition(a, n // 2)[n // 2]  # a value of more than half of them is their median
+    other = a != usual
+    rest = int(other.sum())
+    if 2 * rest < n and n > 64:
+        return bytes([_MOSTLY]) + int(usual).to_bytes(8, "little") + rest.to_bytes(8, "little") + np.packbits(other).tobytes() + _coded(a[other])
+    if width > 1 and n > 64 and 4 * int((a > 255).sum()) < n:
+        return bytes([_APART]) + _coded(a & _U(255)) + _coded(a >> _U(8))
+    return bytes([width]) + _planes(a, width)
+
+
+def _decoded(data: bytes, at: int, n: int) -> tuple[np.ndarray, int]:
+    """An array of n values, and where it ends."""
+    width, at = data[at], at + 1
+    if width == _MOSTLY:
+        a = np.full(n, int.from_bytes(data[at : at + 8], "little"), _U)
+        rest, size = int.from_bytes(data[at + 8 : at + 16], "little"), (n + 7) // 8
+        other = np.unpackbits(np.frombuffer(data, np.uint8, size, at + 16), count=n) > 0
+        a[other], at = _decoded(data, at + 16 + size, rest)
+        return a, at
+    if width == _APART:
+        low, at = _decoded(data, at, n)
+        high, at = _decoded(data, at, n)
+        return low | (high << _U(8)), at
+    return _from_planes(data, at, n, width), at + n * width
 
 
 def pack(*arrays: np.ndarray) -> bytes:
-    """Equally long arrays of unsigned integers as bytes, each as wide as its largest value, low bytes first."""
-    n = len(arrays[0])
-    out = [n.to_bytes(8, "little")]
-    for a in arrays:
-        width = _width(a)
-        other = a != a[0] if n else np.zeros(0, bool)
-        if n * width > 18 + n // 8 + 1 + (rest := int(other.sum())) * width:
-            out += [bytes([_MOSTLY]), int(a[0]).to_bytes(8, "little"), rest.to_bytes(8, "little"), np.packbits(other).tobytes(), bytes([width]), _planes(a[other], width)]
-        else:
-            out += [bytes([width]), _planes(a, width)]
-    return b"".join(out)
+    """Equally long arrays of unsigned integers as bytes."""
+    return len(arrays[0]).to_bytes(8, "little") + b"".join(_coded(np.ascontiguousarray(a, "<u8")) for a in arrays)
 
 
 def unpack(data: bytes, at: int = 0) -> list[np.ndarray]:
     n, at, out = int.from_bytes(data[at : at + 8], "little"), at + 8, []
     while at < len(data):
-        width, at = data[at], at + 1
-        if width == _MOSTLY:
-            a = np.full(n, int.from_bytes(data[at : at + 8], "little"), _U)
-            rest, size = int.from_bytes(data[at + 8 : at + 16], "little"), (n + 7) // 8
-            other = np.unpackbits(np.frombuffer(data, np.uint8, size, at + 16), count=n) > 0
-            width, at = data[at + 16 + size], at + 17 + size
-            a[other] = _from_planes(data, at, rest, width)
-            at += rest * width
-        else:
-            a = _from_planes(data, at, n, width)
-            at += n * width
+        a, at = _decoded(data, at, n)
         out.append(a)
     return out
 
@@ -207,7 +221,7 @@ def short(h: np.ndarray, bits: int = COUNT_BITS) -> np.ndarray:
 
 
 def _trimmed(table: pa.Table) -> pa.Table:
-    trim()
+    trim(WORKER_BYTES)
     return table
 
 

@@ -67,6 +67,10 @@ def test_packing():
     assert [x.tolist() for x in unpack(pack(a, b))] == [a.tolist(), b.tolist()]
     assert len(pack(c)) < 600 and unpack(pack(c, c[::-1]))[1].tolist() == c[::-1].tolist()
     r = np.random.default_rng(1)
+    d = np.where(r.random(4000) < 0.3, r.integers(0, 60, 4000), 1).astype(np.uint64)
+    d[::50] = r.integers(0, 1 << 40, 80)
+    assert unpack(b"xyz" + pack(d, np.zeros(4000, np.uint64)), 3)[0].tolist() == d.tolist() and len(pack(d)) < 3000
+    assert [len(x) for x in unpack(pack(d[:0], d[:0]))] == [0, 0]
     for k in ([7], [5, 5, 6], r.integers(0, 1 << 58, 20_000), r.integers(0, 300, 5000), [0, (1 << 58) - 1], [3] * 9):
         keys = np.sort(np.array(k, np.uint64))
         data = blocks.pack_keys(keys)
