@@ -19,7 +19,7 @@ from granulite.llm import compression_rules as cr
 from granulite.llm.blocks import pack, unpack
 from granulite.llm.components import components
 from granulite.llm.compression_rules import compression_rules
-from granulite.llm.kd_shards import kd_shards
+from granulite.llm.kd_shards import kd_shards, kd_tree
 from granulite.llm.language_id import Model, Tree, language_id
 from granulite.llm.lm_score import ADD, SHORTER, lm_score
 from granulite.llm.ngram_join import ngram_jaccard_join
@@ -418,6 +418,34 @@ def test_kd_shards(docs, odd, none):
     assert kd_shards(none).count() == 0
 
 
+def test_kd_tree_against_recursion(spark):
+    """The tree's cells against a recursive split of sorted lists, where one value holds a third of all rows."""
+    r, shards = np.random.default_rng(6), 7
+    n = 3000
+    d0, d1 = np.where(r.random(n) < 1 / 3, 50, r.integers(0, 200, n)), r.integers(-1000, 5000, n)
+    tie, size = r.choice(1 << 40, n, replace=False), r.integers(1, 10, n)
+    whole = [int(d.max() - d.min()) for d in (d0, d1)]
+    want = {}
+
+    def split(at, first, k):
+        if k == 1:
+            return want.update(dict.fromkeys(at.tolist(), first))
+        width = [(int(d[at].max()) - int(d[at].min())) / w for d, w in zip((d0, d1), whole)]
+        d = (d0, d1)[width.index(max(width))]
+        order = at[np.lexsort((tie[at], d[at]))]
+        ends, left = np.cumsum(size[order]), size[at].sum() * (k // 2) / k
+        i = int(np.argmax(ends > left))
+        i += bool(ends[i] - left < left - (ends[i] - size[order][i]))
+        split(order[:i], first, k // 2)
+        split(order[i:], first + k // 2, k - k // 2)
+
+    split(np.arange(n), 0, shards)
+    rows = [(i, *map(int, x), int(x[3])) for i, x in enumerate(zip(d0, d1, tie, size))]
+    df = spark.createDataFrame(rows, "i int, d0 long, d1 long, tie long, size long, heft long").cache()
+    tree = kd_tree(df, 2, shards)
+    assert {x.i: x.s for x in df.select("i", tree.number().alias("s")).collect()} == want
+
+
 def test_kd_shards_are_near_equal(spark):
     """A third of all rows has one source and one text."""
     rows = [(i, "same text" * 20 if i % 3 == 0 else "x" * (i % 300), f"s{i % 3 and i % 7}", "en") for i in range(4000)]
