@@ -6,8 +6,8 @@ that a frame of one record can't refer to, so the dictionary is trained from the
 records that the archive is about to hold. A reader takes the dictionary from the
 first frame; nothing else is needed to read any record by its offset.
 
-Pages are dealt into archives by a hash of their id; a task writes an archive, whose
-size is bounded, and puts the file in place whole. A payload that occurs again is
+Pages are dealt into archives by a hash of their id; a task writes one archive of about
+``ARCHIVE`` bytes and puts the file in place whole. A payload that occurs again is
 stored once: the others are ``revisit`` records that refer to it.
 """
 
@@ -20,6 +20,7 @@ import uuid
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
+import pyarrow.compute
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -126,35 +127,33 @@ def write_archives(pages: DataFrame, folder: str, id_: str = "page_id", url: str
     rows = pages.select(F.col(id_).cast("long").alias("page_id"), F.col(url).cast("string").alias("url"), payload.alias("payload"))
     total = rows.agg(F.sum(F.octet_length("payload"))).first()[0] or 0
     n = max(1, -(-total // archive_bytes))
-    rows = rows.withColumn("archive", F.pmod(F.xxhash64(F.col("page_id").cast("string")), F.lit(n)))
-    brief = rows.where(F.octet_length("payload") >= least).select("archive", "page_id", F.sha1("payload").alias("digest"))
+    brief = rows.where(F.octet_length("payload") >= least).select("page_id", F.sha1("payload").alias("digest"))
     target = brief.groupBy("digest").agg(F.max("page_id").alias("target"), F.count(F.lit(1)).alias("c")).where("c > 1").select("digest", "target")
     again = brief.join(target, "digest").where("target is not null and not page_id <=> target")
-    # named anew: both sides come from one table
-    again = again.select(F.col("archive").alias("in_archive"), F.col("page_id").alias("revisit"), F.unhex("digest").alias("digest"), F.col("target").alias("to"))
-
-    def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        number = left.column("archive")[0].as_py()
-        refer = {(p, d): t for p, d, t in zip(*(right.column(c).to_pylist() for c in ("revisit", "digest", "to")))}
+    # pages and what they refer to are dealt together: a task is an archive
+    left = rows.select("page_id", "url", "payload", F.lit(False).alias("refers"), F.lit(None).cast("long").alias("to"))
+    right = again.select("page_id", F.lit(None).cast("string").alias("url"), F.unhex("digest").alias("payload"), F.lit(True).alias("refers"), F.col("target").alias("to"))
+    dealt = left.unionByName(right).repartition(n, "page_id").withColumn("archive", F.spark_partition_id())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        batches = [x for x in batches if x.num_rows]
+        if not batches:
+            return
+        t = pa.Table.from_batches(batches)
+        number = t.column("archive")[0].as_py()
+        refer = {(p, d): to for p, d, to in zip(*(t.filter(pa.compute.field("refers")).column(c).to_pylist() for c in ("page_id", "payload", "to")))}
+        left = t.filter(~pa.compute.field("refers")).sort_by([("page_id", "ascending"), ("url", "ascending")])
+        if not left.num_rows:
+            raise ValueError("a revisit without its page")
         records = []
-        for p, u, x in zip(*(left.sort_by([("page_id", "ascending"), ("url", "ascending")]).column(c).to_pylist() for c in ("page_id", "url", "payload"))):
+        for p, u, x in zip(*(left.column(c).to_pylist() for c in ("page_id", "url", "payload"))):
             digest = hashlib.sha1(x).digest()
             records.append(record(p, u, x, digest, refer.get((p, digest))))
         data = archive(records)
         files.write(folder, f"pages-{number:08d}.warc.zst", data)
-        return pa.table({"archive": pa.array([number], pa.int64()), "records": pa.array([len(records)], pa.int64()), "bytes": pa.array([len(data)], pa.int64())})
-
-    tasks = max(1, -(-n // 2))
-    return cut(rows.repartition(tasks, "archive").groupBy("archive").cogroup(again.repartition(tasks, "in_archive").groupBy("in_archive")).applyInArrow(_only_written(run), "archive long, records long, bytes long"))
-
-
-def _only_written(run):
-    def f(left: pa.Table, right: pa.Table) -> pa.Table:
-        if not left.num_rows:
-            raise ValueError("a revisit without its page")
-        return run(left, right)
+        yield pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), pa.array([len(records)], pa.int64()), pa.array([len(data)], pa.int64())], names=["archive", "records", "bytes"])
 
-    return f
+    return cut(dealt.mapInArrow(run, "archive long, records long, bytes long"))
 
 
 def read_archives(spark: SparkSession, folder: str) -> DataFrame:
