@@ -10,7 +10,6 @@ extrapolate from that block alone.
 from __future__ import annotations
 
 import math
-from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -27,11 +26,11 @@ def cell(at: Column, n: int | Column, factor: int, offset: float) -> tuple[Colum
     return i, f - i
 
 
-def between(source: Column, samples: int, i: Column, a: Column, j: Column, b: Column, change: Callable[[Column], Column] = lambda v: v) -> Column:
-    """The value beyond row i by a and column j by b; null in a block of one line. change: applied to the values first."""
+def between(source: Column, samples: int, i: Column, a: Column, j: Column, b: Column) -> Column:
+    """The value beyond row i by a and column j by b; null in a block of one line."""
 
     def s(di: int, dj: int) -> Column:
-        return change(F.get(source, (i + di) * samples + j + dj))
+        return F.get(source, (i + di) * samples + j + dj)
 
     return (1 - a) * (1 - b) * s(0, 0) + (1 - a) * b * s(0, 1) + a * b * s(1, 1) + a * (1 - b) * s(1, 0)
 

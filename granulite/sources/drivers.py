@@ -2,7 +2,8 @@
 
 A driver turns a DataFrame of files into one of chunks: ``chunk_start`` (the number of
 its first pixel), ``lines``, ``samples``, for each column asked for the part of its layer
-that covers the chunk, and the coordinates' parts as ``__lat`` and ``__lon``. Every layer is
+that covers the chunk, and the coordinates' parts as ``__lat`` and ``__lon`` (shifted if
+the table says so). Every layer is
 cut by its own shape. A layer that is missing or whose size isn't the file's gives nulls; a
 file without a usable size or without its geolocation is left out. Readers of binary
 raster formats need libraries that may be absent, so they're registered when they can be
@@ -17,7 +18,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import decode
+from ..operators import decode, geoloc
 from ..spec import Column as Spec
 from ..spec import Role, Table
 
@@ -90,7 +91,9 @@ def _cut(files: DataFrame, table: Table, columns: list[str], block: int | None)
     if table.geolocation:
         g = table.geolocation
         coarse = Spec("__coordinate", hfactor=g.factor, vfactor=g.factor)
-        parts += [_part(F.col(f"`{layer}`"), coarse, table.samples, lines, start, n).alias(name) for layer, name in ((g.lat, "__lat"), (g.lon, "__lon"))]
+        lat, lon = (_part(F.col(f"`{layer}`"), coarse, table.samples, lines, start, n) for layer in (g.lat, g.lon))
+        # shifted once a chunk, not at each of a pixel's lookups
+        parts += [lat.alias("__lat"), (F.transform(lon, geoloc.shifted_longitude) if table.shift_longitude else lon).alias("__lon")]
     return rows.select(*others, (start * table.samples).alias("chunk_start"), n.alias("lines"), F.lit(table.samples).alias("samples"), *parts)
 
 

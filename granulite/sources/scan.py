@@ -57,13 +57,12 @@ def layer_value(spec: Spec, table: Table, index: Column) -> Column:
 def _placed(rows: DataFrame, table: Table) -> tuple[DataFrame, Column, Column]:
     """rows with the coordinates of a pixel's centre and corners, and its point and footprint of them.
 
-    Longitudes are shifted before interpolation, so no value lies between two ends of the
+    Chunks' longitudes are shifted before interpolation, so no value lies between two ends of the
     range. Cells and weights are columns of their own, so each is computed once; what no
     one asks for is pruned.
     """
     g, n = table.geolocation, table.samples
     lines = F.floor(F.col("lines") / g.factor).cast("int")
-    shift = geoloc.shifted_longitude if table.shift_longitude else lambda v: v
     places = {"m": (F.floor(F.col("index") / n), F.col("index") % n, geoloc.CENTRE)}
     for k, at in enumerate(geoloc.corner_positions(F.col("index"), n)):
         places[str(k)] = (F.floor(at / (n + 1)), at % (n + 1), geoloc.CORNER)
@@ -74,10 +73,10 @@ def _placed(rows: DataFrame, table: Table) -> tuple[DataFrame, Column, Column]:
         cells[f"__i{k}"], cells[f"__a{k}"] = geoloc.cell(row, lines, g.factor, offset)
         cells[f"__j{k}"], cells[f"__b{k}"] = geoloc.cell(col, n // g.factor, g.factor, offset)
         at = [F.col(f"__{x}{k}") for x in "iajb"]
-        values[f"__x{k}"] = geoloc.between(F.col("__lon"), n // g.factor, *at, shift)
+        values[f"__x{k}"] = geoloc.between(F.col("__lon"), n // g.factor, *at)
         values[f"__y{k}"] = geoloc.between(F.col("__lat"), n // g.factor, *at)
     if g.factor == 1:
-        values |= {"__xm": shift(decode.at(F.col("__lon"), F.col("index"))), "__ym": decode.at(F.col("__lat"), F.col("index"))}
+        values |= {"__xm": decode.at(F.col("__lon"), F.col("index")), "__ym": decode.at(F.col("__lat"), F.col("index"))}
     rows = rows.withColumns(cells).withColumns(values)
     return rows, geometry.point(F.col("__xm"), F.col("__ym")), geometry.ring(*((F.col(f"__x{k}"), F.col(f"__y{k}")) for k in range(4)))
 
