@@ -5,89 +5,181 @@ of the grid. A piece of an edge within a cell adds to the cell the signed area b
 itself and the cell's right side, and its height to all cells further right in its row.
 Pieces are summed by cell, and a running sum along each row gives the part of every cell
 that the ring encloses; cells between two pieces are covered alike and are filled in. So
-the work before the last step follows a ring's circumference, not its area, all of it is
-arithmetic in generated code, and rings needn't be convex.
+the work before the last step follows a ring's circumference, not its area, and rings
+needn't be convex.
+
+A ring is one value of a row, so nothing is exchanged: batches of rings are cut where they
+are read, on arrays. What a task holds is bounded by ``PIECES`` and ``CELLS``, whatever
+the number of rings and the size of one; only the pieces in one row of one ring are held
+together.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, IntegerType, LongType, StructField, StructType
 
 #: Parts of a cell below which an overlap is rounding.
 LEAST = 1e-12
 _FAR = 1e300
+#: Pieces of edges that are cut at once, and cells and bytes that are sent at once.
+PIECES, CELLS, BYTES = 1 << 18, 1 << 17, 1 << 25
+#: Rows of up to so many pieces are summed side by side, longer ones one by one.
+_SHORT = 32
 
 
-def _clamp(x: Column, low: Column, high: Column) -> Column:
-    return F.least(F.greatest(x, low), high)
-
-
-def _first(x: Column, y: Column) -> Column:
+def _first(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     """The first cell that the range between two values meets."""
-    return F.floor(F.least(x, y))
+    return np.floor(np.minimum(x, y)).astype(np.int64)
 
 
-def _last(x: Column, y: Column) -> Column:
+def _last(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     """The last cell that it meets with more than its end."""
-    return F.greatest(F.ceil(F.greatest(x, y)) - 1, F.floor(F.least(x, y)))
-
-
-def _cells(df: DataFrame, ring: str, frame: tuple[float, float, float, float], keep: list[str], key: list[str] | None, width: int | None, height: int | None, kind: str) -> DataFrame:
-    ox, oy, sx, sy = (F.lit(float(x)) for x in frame)
-    names = {c: f"__k{n}" for n, c in enumerate(dict.fromkeys([*keep, *(key or [])]))}
-    own = [F.col(f"`{c}`").alias(n) for c, n in names.items()]
-    if key is None:
-        own.append(F.monotonically_increasing_id().alias("__id"))
-    rows = [n for n in names.values()] + ([] if key else ["__id"])
-    df = df.select(*own, F.col(ring).alias("__r")).where(F.size("__r") > 3)
-    df = df.withColumn("__e", F.explode(F.sequence(F.lit(1), F.size("__r") - 1)))
-    p, q = F.element_at("__r", F.col("__e")), F.element_at("__r", F.col("__e") + 1)
-    df = df.select(*rows, ((p["x"] - ox) / sx).alias("pu"), ((p["y"] - oy) / sy).alias("pv"), ((q["x"] - ox) / sx).alias("qu"), ((q["y"] - oy) / sy).alias("qv")).where("pv <> qv")
-    # pieces of an edge by row
-    low, high = _first(F.col("pv"), F.col("qv")), _last(F.col("pv"), F.col("qv"))
-    if height is not None:
-        low, high = F.greatest(low, F.lit(0)), F.least(high, F.lit(height - 1))
-    df = df.withColumn("j", F.explode(F.when(low <= high, F.sequence(low, high))))
-    at = lambda v: F.col("pu") + (v - F.col("pv")) * (F.col("qu") - F.col("pu")) / (F.col("qv") - F.col("pv"))
-    va, vb = (_clamp(F.col(v), F.col("j").cast("double"), (F.col("j") + 1).cast("double")) for v in ("pv", "qv"))
-    df = df.select(*rows, "j", va.alias("va"), vb.alias("vb"), at(va).alias("ua"), at(vb).alias("ub"))
-    # and by column; what is left of the grid is one piece, in column -1
-    low, high = _first(F.col("ua"), F.col("ub")), _last(F.col("ua"), F.col("ub"))
+    return np.maximum(np.ceil(np.maximum(x, y)).astype(np.int64) - 1, _first(x, y))
+
+
+def _spread(low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each range its number, once for each of its integers, and the integers; empty ranges have none."""
+    n = np.maximum(high - low + 1, 0)
+    k = np.repeat(np.arange(len(n)), n)
+    return k, np.arange(len(k)) - np.repeat(np.cumsum(n) - n, n) + low[k]
+
+
+def _edges(rings: pa.ListArray, frame: tuple[float, float, float, float]) -> tuple[np.ndarray, ...]:
+    """Number of the ring and ends of each edge, in units of the grid; level edges enclose nothing."""
+    ox, oy, sx, sy = frame
+    offsets = rings.offsets.to_numpy()
+    size = np.where(rings.is_valid().to_numpy(zero_copy_only=False), np.diff(offsets), 0)
+    ring, at = _spread(offsets[:-1].astype(np.int64), np.where(size > 3, offsets[:-1] + size - 2, offsets[:-1] - 1))
+    known = rings.values.is_valid().to_numpy(zero_copy_only=False)
+    x, y = (np.where(known, rings.values.field(k).cast(pa.float64()).to_numpy(zero_copy_only=False), np.nan) for k in "xy")
+    u, v = (x - ox) / sx, (y - oy) / sy
+    pu, pv, qu, qv = u[at], v[at], u[at + 1], v[at + 1]
+    fit = np.isfinite(pu) & np.isfinite(pv) & np.isfinite(qu) & np.isfinite(qv) & (pv != qv)
+    return tuple(a[fit] for a in (ring, pu, pv, qu, qv))
+
+
+def _bands(edges: tuple[np.ndarray, ...], span: np.ndarray, low: np.ndarray, high: np.ndarray) -> Iterator[tuple[tuple[np.ndarray, ...], np.ndarray, np.ndarray]]:
+    """Edges and the rows of each to be cut at once: rows are halved until there are about PIECES pieces or one row."""
+    if not len(low):
+        return
+    bottom, top = low.min(), high.max()
+    rows = high - low + 1
+    if bottom == top or (rows + span).sum() <= PIECES:
+        yield edges, low, high
+        return
+    middle = (bottom + top) // 2
+    for a, b in ((low, np.minimum(high, middle)), (np.maximum(low, middle + 1), high)):
+        in_ = a <= b
+        yield from _bands(tuple(e[in_] for e in edges), (span * (b - a + 1) / rows)[in_], a[in_], b[in_])
+
+
+def _pieces(edges: tuple[np.ndarray, ...], low: np.ndarray, high: np.ndarray, width: int | None) -> tuple[np.ndarray, ...]:
+    """Sums by cell: ring, row j, column i, height, and area to the cell's right side; in order."""
+    k, j = _spread(low, high)
+    ring, pu, pv, qu, qv = (e[k] for e in edges)
+    va, vb = (np.clip(v, j, j + 1) for v in (pv, qv))
+    ua, ub = (pu + (v - pv) * (qu - pu) / (qv - pv) for v in (va, vb))
+    # what is left of the grid is one piece, in column -1
+    low, high = _first(ua, ub), _last(ua, ub)
     if width is not None:
-        low, high = F.greatest(low, F.lit(-1)), F.greatest(F.least(high, F.lit(width - 1)), F.lit(-1))
-    df = df.withColumn("i", F.explode(F.when(low <= high, F.sequence(low, high))))
-    left = F.col("i").cast("double") if width is None else F.when(F.col("i") >= 0, F.col("i").cast("double")).otherwise(F.lit(-_FAR))
-    right = (F.col("i") + 1).cast("double")
-    ends = [_clamp(F.col(u), left, right) for u in ("ua", "ub")]
-    height_ = F.when(F.col("ua") == F.col("ub"), F.col("vb") - F.col("va")).otherwise((ends[1] - ends[0]) * (F.col("vb") - F.col("va")) / (F.col("ub") - F.col("ua")))
-    df = df.select(*rows, "j", "i", height_.alias("c"), (height_ * (right - (ends[0] + ends[1]) / 2)).alias("a"))
-    # one exchange, by row of a ring: sums by cell, and along the row
-    group = [*rows, "j"]
-    df = df.repartition(*group).groupBy(*group, "i").agg(F.sum("c").alias("c"), F.sum("a").alias("a"))
-    by = Window.partitionBy(*group).orderBy("i")
-    df = df.withColumn("before", F.coalesce(F.sum("c").over(by.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0)))
-    end = F.coalesce(F.lead("i").over(by) - 1, F.col("i") if width is None else F.lit(width - 1))
-    df = df.withColumn("end", end).withColumn("after", F.abs(F.col("before") + F.col("c")))
-    first = F.col("i") if width is None else F.greatest(F.col("i"), F.lit(0))
-    last = F.when(F.col("after") > LEAST, F.col("end")).otherwise(F.col("i"))
-    df = df.withColumn("cell", F.explode(F.when(first <= last, F.sequence(first, last))))
-    ratio = F.when(F.col("cell") == F.col("i"), F.abs(F.col("before") + F.col("a"))).otherwise(F.col("after"))
-    df = df.withColumn("ratio", ratio).where(F.col("ratio") > LEAST)
-    return df.select(*(F.col(names[c]).alias(c) for c in keep), F.col("cell").cast(kind).alias("i"), F.col("j").cast(kind).alias("j"), "ratio")
-
-
-def grid_join(df: DataFrame, ring: str, sx: float, sy: float, ox: float = 0.0, oy: float = 0.0, keep: list[str] | None = None, key: list[str] | None = None) -> DataFrame:
+        low, high = np.maximum(low, -1), np.maximum(np.minimum(high, width - 1), -1)
+    k, i = _spread(low, high)
+    ring, j, ua, ub, va, vb = (a[k] for a in (ring, j, ua, ub, va, vb))
+    left = i.astype(float) if width is None else np.where(i >= 0, i, -_FAR)
+    ea, eb = (np.clip(u, left, i + 1) for u in (ua, ub))
+    level = ua == ub
+    c = np.where(level, vb - va, (eb - ea) * (vb - va) / np.where(level, 1.0, ub - ua))
+    a = c * (i + 1 - (ea + eb) / 2)
+    order = np.lexsort((i, j, ring))
+    ring, j, i, c, a = (x[order] for x in (ring, j, i, c, a))
+    new = np.flatnonzero(np.r_[True, (ring[1:] != ring[:-1]) | (j[1:] != j[:-1]) | (i[1:] != i[:-1])][: len(i)])
+    return (ring[new], j[new], i[new], *(np.add.reduceat(x, new) if len(new) else x for x in (c, a)))
+
+
+def _before(c: np.ndarray, start: np.ndarray) -> np.ndarray:
+    """The sum of what comes before, along rows that begin at ``start``; no row's rounding is carried to another."""
+    n = np.diff(np.r_[start, len(c)])
+    out = np.zeros(len(c))
+    for r in range(1, min(_SHORT, n.max(initial=0))):
+        at = start[(n > r) & (n <= _SHORT)] + r
+        out[at] = out[at - 1] + c[at - 1]
+    for s, m in zip(start[n > _SHORT], n[n > _SHORT]):
+        out[s + 1 : s + m] = np.cumsum(c[s : s + m - 1])
+    return out
+
+
+def _cut(rings: pa.ListArray, most: int, frame: tuple[float, float, float, float], width: int | None, height: int | None) -> Iterator[tuple[np.ndarray, ...]]:
+    """(ring, i, j, ratio) of the cells that rings overlap, at most ``most`` at once."""
+    edges = _edges(rings, frame)
+    _, pu, pv, qu, qv = edges
+    low, high = _first(pv, qv), _last(pv, qv)
+    if height is not None:
+        low, high = np.maximum(low, 0), np.minimum(high, height - 1)
+    # the columns that an edge crosses
+    span = np.abs(qu - pu) if width is None else np.abs(np.clip(qu, -1, width) - np.clip(pu, -1, width))
+    met = low <= high
+    edges, span, low, high = tuple(e[met] for e in edges), span[met], low[met], high[met]
+    for part, a, b in _bands(edges, span, low, high):
+        ring, j, i, c, area = _pieces(part, a, b, width)
+        if not len(i):
+            continue
+        new = np.r_[True, (ring[1:] != ring[:-1]) | (j[1:] != j[:-1])]
+        before = _before(c, np.flatnonzero(new))
+        after = np.abs(before + c)
+        end = i.copy() if width is None else np.full(len(i), width - 1)
+        end[:-1] = np.where(new[1:], end[:-1], i[1:] - 1)
+        first = i if width is None else np.maximum(i, 0)
+        n = np.maximum(np.where(after > LEAST, end, i) - first + 1, 0)
+        stop = np.cumsum(n)
+        for at in range(0, int(stop[-1]), most):
+            # cells from ``at`` on, of pieces x to y
+            to = min(at + most, int(stop[-1]))
+            x, y = np.searchsorted(stop, at, "right"), np.searchsorted(stop, to, "left") + 1
+            begin = np.maximum(stop[x:y] - n[x:y], at)
+            k, cell = _spread(begin, np.minimum(stop[x:y], to) - 1)
+            k += x
+            cell += first[k] - (stop[k] - n[k])
+            ratio = np.where(cell == i[k], np.abs(before + area)[k], after[k])
+            kept = ratio > LEAST
+            yield ring[k[kept]], cell[kept], j[k[kept]], ratio[kept]
+
+
+def _cells(df: DataFrame, ring: str, frame: tuple[float, float, float, float], keep: list[str], width: int | None, height: int | None, kind: str) -> DataFrame:
+    frame = tuple(map(float, frame))
+    names = {c: f"__k{n}" for n, c in enumerate(dict.fromkeys(keep))}
+    df = df.select(*(F.col(f"`{c}`").alias(n) for c, n in names.items()), F.col(ring).alias("__r")).where(F.size("__r") > 3)
+    whole, number = {"int": (IntegerType(), pa.int32()), "long": (LongType(), pa.int64())}[kind]
+    fields = [*(df.schema[n] for n in names.values()), StructField("__i", whole), StructField("__j", whole), StructField("__ratio", DoubleType())]
+    own, out = len(names), [f.name for f in fields]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            kept = batch.columns[:own]
+            row = 24 + sum(c.nbytes for c in kept) // max(1, batch.num_rows)
+            for k, i, j, ratio in _cut(batch.column(own), max(1, min(CELLS, BYTES // row)), frame, width, height):
+                k = pa.array(k)
+                yield pa.RecordBatch.from_arrays([*(c.take(k) for c in kept), pa.array(i).cast(number), pa.array(j).cast(number), pa.array(ratio)], out)
+
+    df = df.mapInArrow(run, StructType(fields))
+    return df.select(*(F.col(names[c]).alias(c) for c in keep), F.col("__i").alias("i"), F.col("__j").alias("j"), F.col("__ratio").alias("ratio"))
+
+
+def grid_join(df: DataFrame, ring: str, sx: float, sy: float, ox: float = 0.0, oy: float = 0.0, keep: list[str] | None = None) -> DataFrame:
     """Each row of df once for every cell (i, j) of an infinite grid that its ring overlaps; ratio is the part of the cell.
 
     ring: a column of closed rings of one contour. Null and empty rings, and those
-    without an area, give no rows. key: columns that tell rows apart, if there are any;
-    else rows are numbered as they're read.
+    without an area, give no rows.
     """
-    return _cells(df, ring, (ox, oy, sx, sy), df.columns if keep is None else keep, key, None, None, "long")
+    return _cells(df, ring, (ox, oy, sx, sy), df.columns if keep is None else keep, None, None, "long")
 
 
-def grid_join_area(df: DataFrame, ring: str, width: int, height: int, xmin: float, ymin: float, xmax: float, ymax: float, keep: list[str] | None = None, key: list[str] | None = None) -> DataFrame:
+def grid_join_area(df: DataFrame, ring: str, width: int, height: int, xmin: float, ymin: float, xmax: float, ymax: float, keep: list[str] | None = None) -> DataFrame:
     """Like grid_join on a grid of width x height cells between corners; an axis that runs down counts down. What lies outside is cut away."""
     frame = (xmin, ymin, (xmax - xmin) / width, (ymax - ymin) / height)
-    return _cells(df, ring, frame, df.columns if keep is None else keep, key, width, height, "int")
+    return _cells(df, ring, frame, df.columns if keep is None else keep, width, height, "int")

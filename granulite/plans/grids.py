@@ -16,19 +16,19 @@ def _boxes(spark, sf_dir):
 
 
 def grid_join(spark, sf_dir):
-    out = gridjoin.grid_join(_boxes(spark, sf_dir), "ring", 0.5, -2.0, 0.25, 1.0, keep=["id"], key=["id"])
+    out = gridjoin.grid_join(_boxes(spark, sf_dir), "ring", 0.5, -2.0, 0.25, 1.0, keep=["id"])
     return out.withColumn("ratio", F.round("ratio", 9))
 
 
 def grid_join_area(spark, sf_dir):
-    out = gridjoin.grid_join_area(_boxes(spark, sf_dir), "ring", 40, 20, -100.0, 50.0, 100.0, -50.0, keep=["id"], key=["id"])
+    out = gridjoin.grid_join_area(_boxes(spark, sf_dir), "ring", 40, 20, -100.0, 50.0, 100.0, -50.0, keep=["id"])
     return out.withColumn("ratio", F.round("ratio", 9))
 
 
 def regrid_mean(spark, sf_dir):
     """Pixels' values on a grid of half degrees, weighted by what footprints cover."""
-    px = pixels(spark, sf_dir, ["file_id", "index", "footprint", "raw"])
-    out = gridjoin.grid_join(px, "footprint", 0.3125, 0.3125, keep=["raw"], key=["file_id", "index"])
+    px = pixels(spark, sf_dir, ["footprint", "raw"])
+    out = gridjoin.grid_join(px, "footprint", 0.3125, 0.3125, keep=["raw"])
     return out.groupBy("i", "j").agg(F.round(aggregates.weighted_mean("raw", "ratio"), 6).alias("mean"), F.count(F.lit(1)).alias("n"))
 
 

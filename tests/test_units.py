@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 import random
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -105,6 +106,34 @@ def test_grid_join_keeps_area(spark):
     assert [got[i] for i in range(len(shapes))] == pytest.approx(area)
 
 
+def test_grid_join_deals_nothing(spark):
+    """Rings are cut where they are read: no exchange, whose tasks would grow with the table, and equal rows stay apart."""
+    df = rings(spark, [BOX2, BOX2]).select(F.lit(7).alias("id"), "r")
+    out = gridjoin.grid_join(df, "r", 0.5, 0.5, keep=["id"])
+    assert "Exchange" not in out._jdf.queryExecution().executedPlan().toString()
+    assert cells(out) == sorted(2 * [(0, 0, 0.25), (0, 1, 0.25), (1, 0, 0.5), (1, 1, 0.5), (2, 0, 0.25), (2, 1, 0.25)])
+
+
+@pytest.mark.parametrize("width, height", [(None, None), (9, 11)])
+def test_grid_join_in_parts(monkeypatch, width, height):
+    """However few pieces and cells are held at once, and with long rows, the cells are the same."""
+    r = random.Random(8)
+    star = lambda n, size: [(size * d * math.cos(2 * math.pi * i / n), size * d * math.sin(2 * math.pi * i / n)) for i in range(n) for d in (r.uniform(0.3, 1),)]
+    comb = [(x + 0.1, y) for x in range(-30, 30) for y in (0.2, 0.8)] + [(30.0, 0.1), (-30.0, 0.1)]
+    shapes = [star(5, 3), star(200, 20), [], star(9, 0.2), comb, None, [(-1e3, -2.0), (1e3, -2.0), (1e3, 3.0)], star(4, 8)]
+    values = pa.array([s and [dict(x=x, y=y) for x, y in [*s, s[0]]] for s in shapes], pa.list_(pa.struct([("x", pa.float64()), ("y", pa.float64())])))
+
+    def found(most):
+        parts = list(gridjoin._cut(values, most, (-4.0, -5.0, 0.7, 0.9), width, height))
+        assert all(len(p[0]) <= most for p in parts)
+        return sorted((*map(int, c[:3]), round(float(c[3]), 9)) for p in parts for c in zip(*p))
+
+    whole = found(1 << 20)
+    assert {c[0] for c in whole} == {0, 1, 3, 4, 6, 7}
+    monkeypatch.setattr(gridjoin, "PIECES", 5)
+    assert found(7) == whole
+
+
 def test_pruning_is_sound(spark):
     """No file condition drops a file that holds a match, for boxes in boxes at random."""
     r = random.Random(3)
