@@ -20,9 +20,13 @@ def box(xmin, ymin, xmax, ymax) -> Column:
     return F.struct(*(v.cast("double").alias(n) for v, n in zip(values, ("xmin", "ymin", "xmax", "ymax"))))
 
 
+def _known(x: Column, y: Column, lon=(-180.0, 360.0), lat=(-90.0, 90.0)) -> Column:
+    return x.between(*lon) & y.between(*lat)
+
+
 def point(x: Column, y: Column, lon=(-180.0, 360.0), lat=(-90.0, 90.0)) -> Column:
     """A point, or null where a coordinate is out of range."""
-    return F.when(x.between(*lon) & y.between(*lat), F.struct(x.alias("x"), y.alias("y")))
+    return F.when(_known(x, y, lon, lat), F.struct(x.alias("x"), y.alias("y")))
 
 
 def point_box(p: Column) -> Column:
@@ -38,6 +42,13 @@ def ring(*corners: tuple[Column, Column]) -> Column:
     return F.when(whole, F.array(*places, places[0]))
 
 
+def corners_box(*corners: tuple[Column, Column]) -> Column:
+    """The box of the ring of these corners, from their coordinates alone: no array is made."""
+    xs, ys = zip(*corners)
+    whole = reduce(operator.and_, (_known(x, y) for x, y in corners))
+    return F.when(whole, box(F.least(*xs), F.least(*ys), F.greatest(*xs), F.greatest(*ys)))
+
+
 def ring_box(r: Column) -> Column:
     """The box of a ring."""
     x, y = F.transform(r, lambda p: p["x"]), F.transform(r, lambda p: p["y"])

@@ -2,19 +2,25 @@
 
 from __future__ import annotations
 
+import dataclasses
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import functions as F
 
 from ..functions import geometry_text
 from ..operators import geometry
 from ..operators.prune import file_condition
 from ..sources.scan import Geo
-from ..spec import Role
-from .fixtures import CATALOG, file_box, PIXELS, catalog, file_catalog, pixels
+from ..spec import Column, Role
+from .fixtures import CATALOG, file_box, PIXELS, TABLE, catalog, file_catalog, pixels
 from .scans import REGION
 
 #: The argument's box.
 BOX = (-40.0, -20.25, 55.5, 30.0)
 _A = dict(zip(("axmin", "aymin", "axmax", "aymax"), BOX))
+#: The pixel table with footprints' boxes.
+BOXED = dataclasses.replace(TABLE, columns=(*TABLE.columns, Column("box", Role.BOX)))
 #: Each operator on a footprint's box (l, b, r, t) in SQL, spelled out by cases of what fails.
 SQL = {
     "overlaps": "NOT (r < axmin OR l > axmax OR t < aymin OR b > aymax)", "contains": "least(l, axmin) = l AND greatest(r, axmax) = r AND least(b, aymin) = b AND greatest(t, aymax) = t",
@@ -44,13 +50,14 @@ OPERATORS = {f"geom_{op}": _query(op) for op in geometry.OPERATORS}
 
 
 def geom_not(spark, sf_dir):
-    """For each operator the files and pixels for which its negation holds, counted."""
-    out = None
-    for op in geometry.OPERATORS:
-        geo = (Geo(op, geometry.box(*BOX), Role.FOOTPRINT, True),)
-        n = pixels(spark, sf_dir, ["file_id"], geo=geo, file_box=file_box()).agg(F.lit(op).alias("op"), F.count(F.lit(1)).alias("n"), F.count_distinct("file_id").alias("files"))
-        out = n if out is None else out.unionByName(n)
-    return out
+    """For each operator the files and pixels for which its negation holds, counted, in one scan of the files where one of them can hold."""
+    a = geometry.box(*BOX)
+    some = reduce(or_, (file_condition(op, True, file_box(), a) for op in geometry.OPERATORS))
+    px = pixels(spark, sf_dir, ["file_id", "box"], table=BOXED, where=some)
+    held = px.groupBy("file_id").agg(*(F.count(F.when(geometry.apply(op, F.col("box"), a, True), 1)).alias(op) for op in geometry.OPERATORS))
+    n = held.agg(*(f(op).alias(k + op) for op in geometry.OPERATORS for k, f in (("n_", F.sum), ("files_", lambda op: F.count_if(F.col(op) > 0)))))
+    rows = (F.struct(F.lit(op).alias("op"), F.coalesce(F.col(f"n_{op}"), F.lit(0)).alias("n"), F.col(f"files_{op}").alias("files")) for op in geometry.OPERATORS)
+    return n.select(F.inline(F.array(*rows)))
 
 
 def geom_conjunction(spark, sf_dir):

@@ -54,8 +54,8 @@ def layer_value(spec: Spec, table: Table, index: Column) -> Column:
     return {"int2": decode.wrapped_short, "int4": lambda x: x.cast("int"), "int8": lambda x: x.cast("long"), "float4": lambda x: x.cast("float")}[spec.type](v)
 
 
-def _placed(rows: DataFrame, table: Table) -> tuple[DataFrame, Column, Column]:
-    """rows with the coordinates of a pixel's centre and corners, and its point and footprint of them.
+def _placed(rows: DataFrame, table: Table) -> tuple[DataFrame, tuple[Column, Column], list[tuple[Column, Column]]]:
+    """rows with the coordinates of a pixel's centre and corners, and these.
 
     Chunks' longitudes are shifted before interpolation, so no value lies between two ends of the
     range. Cells and weights are columns of their own, so each is computed once; what no
@@ -78,7 +78,7 @@ def _placed(rows: DataFrame, table: Table) -> tuple[DataFrame, Column, Column]:
     if g.factor == 1:
         values |= {"__xm": decode.at(F.col("__lon"), F.col("index")), "__ym": decode.at(F.col("__lat"), F.col("index"))}
     rows = rows.withColumns(cells).withColumns(values)
-    return rows, geometry.point(F.col("__xm"), F.col("__ym")), geometry.ring(*((F.col(f"__x{k}"), F.col(f"__y{k}")) for k in range(4)))
+    return rows, (F.col("__xm"), F.col("__ym")), [(F.col(f"__x{k}"), F.col(f"__y{k}")) for k in range(4)]
 
 
 def pixel_scan(catalog: DataFrame, files: DataFrame, table: Table, columns: list[str], where: Column | None = None, geo: tuple[Geo, ...] = (), file_box: Column | None = None, on: str = "file_id", point: tuple[Column, Column] | None = None, corners: list[tuple[Column, Column]] | None = None, present: tuple[str, ...] = (), carry: tuple[str, ...] = ()) -> DataFrame:
@@ -101,24 +101,25 @@ def pixel_scan(catalog: DataFrame, files: DataFrame, table: Table, columns: list
     rows = rows.withColumn("index", F.explode(F.sequence(F.lit(0), F.col("lines") * F.col("samples") - 1)))
     ordinal = F.col("chunk_start") + F.col("index")
     rows = rows.withColumn("line", F.floor(ordinal / F.col("samples")).cast("int")).withColumn("sample", (ordinal % F.col("samples")).cast("int"))
-    places: dict[Role, Column] = {}
+    shift = lambda x, y: (geoloc.shifted_longitude(x) if table.shift_longitude else x, y)
+    point, corners = point and shift(*point), corners and [shift(*c) for c in corners]
     if table.geolocation is not None:
-        rows, places[Role.POINT], places[Role.FOOTPRINT] = _placed(rows, table)
-    if point is not None:
-        x, y = point
-        places[Role.POINT] = geometry.point(geoloc.shifted_longitude(x) if table.shift_longitude else x, y)
-    if corners is not None:
-        places[Role.FOOTPRINT] = geometry.ring(*((geoloc.shifted_longitude(x) if table.shift_longitude else x, y) for x, y in corners))
+        rows, *own = _placed(rows, table)
+        point, corners = point or own[0], corners or own[1]
+    places: dict[Role, Column] = {}
+    if point:
+        places[Role.POINT] = geometry.point(*point)
+    if corners:
+        places |= {Role.FOOTPRINT: geometry.ring(*corners), Role.BOX: geometry.corners_box(*corners)}
     for g in geo:
-        p = places[g.role]
-        rows = rows.where(geometry.apply(g.op, geometry.point_box(p) if g.role is Role.POINT else geometry.ring_box(p), g.box, g.negated))
+        rows = rows.where(geometry.apply(g.op, geometry.point_box(places[Role.POINT]) if g.role is Role.POINT else places[Role.BOX], g.box, g.negated))
     for c in present:
         rows = rows.where(layer_value(table.column(c), table, F.col("index")).isNotNull())
     out = [F.col(f"`{c}`") for c in carry]
     for s in specs:
         value = {
             Role.INDEX: lambda s: ordinal.cast("int"), Role.LINE: lambda s: F.col("line"), Role.SAMPLE: lambda s: F.col("sample"),
-            Role.POINT: lambda s: places[Role.POINT], Role.FOOTPRINT: lambda s: places[Role.FOOTPRINT],
+            Role.POINT: lambda s: places[Role.POINT], Role.FOOTPRINT: lambda s: places[Role.FOOTPRINT], Role.BOX: lambda s: places[Role.BOX],
             Role.CATALOG: lambda s: F.col(s.layer), Role.DATASET: lambda s: layer_value(s, table, F.col("index")),
         }[s.role](s)
         out.append(value.alias(s.name))

@@ -20,6 +20,8 @@ class Role(Enum):
     SAMPLE = "sample_index"
     POINT = "point"
     FOOTPRINT = "footprint"
+    #: A footprint's box.
+    BOX = "box"
 
 
 #: Declared types of dataset columns. float8 is scaled, the others are copied.

@@ -34,3 +34,18 @@ def test_entry(spark):
 
 def test_every_query_but_sampling_has_sql():
     assert set(plans.queries()) - set(plans.oracle_sql()) == {"sample_rows"}
+
+
+def test_negations_share_a_scan(spark):
+    """All operators are counted over one scan of the catalog and one of the files."""
+    assert plans.queries()["geom_not"](spark, DATA)._jdf.queryExecution().optimizedPlan().toString().count("Relation [") == 2
+
+
+def test_negations_of_no_pixels(spark, tmp_path):
+    spark.read.parquet(f"{DATA}/embeddings.parquet").where("false").write.parquet(str(tmp_path / "embeddings.parquet"))
+    assert {(r.n, r.files) for r in plans.queries()["geom_not"](spark, str(tmp_path)).collect()} == {(0, 0)}
+
+
+@pytest.mark.parametrize("name", ["geom_overlaps", "geom_same", "geom_conjunction", "geom_not"])
+def test_boxes_are_plain_arithmetic(spark, name):
+    assert "lambda" not in plans.queries()[name](spark, DATA)._jdf.queryExecution().optimizedPlan().toString()

@@ -150,6 +150,17 @@ def test_pruning_is_sound(spark):
     assert set(df.agg(*wrong, *swapped).first().asDict().values()) == {0}
 
 
+def test_box_of_corners(spark):
+    """From the coordinates as from the ring; none where a corner is unknown or out of range."""
+    r = random.Random(6)
+    rows = [tuple(r.choice((r.uniform(-90, 90), r.uniform(-90, 90), 90.0, -90.0)) for _ in range(8)) for _ in range(50)]
+    rows += [(*row[:k], bad, *row[k + 1 :]) for row in rows[:8] for k, bad in ((0, None), (3, 91.0), (6, 361.0), (7, float("nan")))]
+    df = spark.createDataFrame(rows, ", ".join(f"c{i} double" for i in range(8)))
+    corners = [(F.col(f"c{i}"), F.col(f"c{i + 1}")) for i in range(0, 8, 2)]
+    got = df.select(geometry.corners_box(*corners), geometry.ring_box(geometry.ring(*corners))).collect()
+    assert [a for a, _ in got] == [b for _, b in got] and [a is None for a, _ in got] == 50 * [False] + 32 * [True]
+
+
 def test_decoding(spark):
     df = spark.createDataFrame([([1, 2, 3, 4], 20, float("nan"))], "a array<int>, v int, x double")
     r = df.select(
