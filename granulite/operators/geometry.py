@@ -51,9 +51,7 @@ def corners_box(*corners: tuple[Column, Column]) -> Column:
 
 def ring_box(r: Column) -> Column:
     """The box of a ring."""
-    x, y = F.transform(r, lambda p: p["x"]), F.transform(r, lambda p: p["y"])
-    return F.when(r.isNotNull(), box(F.array_min(x), F.array_min(y), F.array_max(x), F.array_max(y)))
-
+    return F.when(r.isNotNull(), box(F.array_min(r["x"]), F.array_min(r["y"]), F.array_max(r["x"]), F.array_max(r["y"])))
 
 
 #: Each operator of a pixel's box and an argument's, as the comparisons it's made of: a bound of the pixel's, a sign, a bound of the argument's.
@@ -91,19 +89,24 @@ def apply(op: str, p: Column, a: Column, negated: bool = False) -> Column:
     return ~e if negated else e
 
 
+def _crossings(p: Column, r: Column) -> Column:
+    """How many edges of a ring lie right of a point."""
+
+    def crossed(a: Column, b: Column) -> Column:
+        return ((a["y"] > p["y"]) != (b["y"] > p["y"])) & (p["x"] < (b["x"] - a["x"]) * (p["y"] - a["y"]) / F.nullif(b["y"] - a["y"], F.lit(0.0)) + a["x"])
+
+    edges = F.slice(F.sequence(F.lit(0), F.size(r)), 2, F.greatest(F.size(r) - 1, F.lit(0)))
+    return F.aggregate(edges, F.lit(0), lambda n, i: n + F.when(crossed(F.get(r, i - 1), F.get(r, i)), 1).otherwise(0))
+
+
 def in_polygon(p: Column, r: Column) -> Column:
-    """Whether a point lies inside a ring (even-odd rule; the ring's edges are closed by its first point)."""
-    n = F.size(r)
-    crossings = F.aggregate(
-        F.sequence(F.lit(1), n - 1),
-        F.lit(0),
-        lambda c, i: c + F.when(
-            ((F.element_at(r, i)["y"] > p["y"]) != (F.element_at(r, i + 1)["y"] > p["y"]))
-            & (p["x"] < (F.element_at(r, i + 1)["x"] - F.element_at(r, i)["x"]) * (p["y"] - F.element_at(r, i)["y"]) / F.nullif(F.element_at(r, i + 1)["y"] - F.element_at(r, i)["y"], F.lit(0.0)) + F.element_at(r, i)["x"]),
-            1,
-        ).otherwise(0),
-    )
-    return crossings % 2 == 1
+    """Whether a point lies inside a ring (even-odd rule; the ring's edges are closed by its first point).
+
+    Point and ring are bound to a variable first, so each is computed once: what a lambda
+    names is computed anew wherever it stands, for each edge.
+    """
+    bound = F.transform(F.array(F.struct(p.alias("p"), r.alias("r"))), lambda s: _crossings(s["p"], s["r"]))
+    return F.get(bound, F.lit(0)) % 2 == 1
 
 
 def ring_of(points: list[tuple[float, float]]) -> Column:

@@ -161,6 +161,31 @@ def test_box_of_corners(spark):
     assert [a for a, _ in got] == [b for _, b in got] and [a is None for a, _ in got] == 50 * [False] + 32 * [True]
 
 
+def test_containment_of_odd_rings(spark):
+    """Against the even-odd rule edge by edge; rings that are null, empty or a point contain nothing."""
+    r = random.Random(2)
+    some = [[(float(r.randint(-4, 4)), float(r.randint(-4, 4))) for _ in range(r.randint(3, 8))] for _ in range(60)]
+    shapes = [s + s[:1] for s in some] + [[], [(0.5, 0.5)], None]
+    points = [(r.uniform(-4, 4), r.uniform(-4, 4)) for _ in shapes]
+
+    def inside(x, y, s):
+        return sum((b > y) != (d > y) and x < (c - a) * (y - b) / (d - b) + a for (a, b), (c, d) in zip(s, s[1:])) % 2 == 1
+
+    df = spark.createDataFrame(list(zip(range(len(shapes)), points, shapes)), "i int, p struct<x: double, y: double>, r array<struct<x: double, y: double>>")
+    want = [i for i, ((x, y), s) in enumerate(zip(points, shapes)) if inside(x, y, s or [])]
+    for held in (geometry.in_polygon(F.col("p"), F.col("r")), geometry.st_contains(F.col("r"), F.col("p"))):
+        assert sorted(x.i for x in df.where(held).collect()) == want
+    assert 5 < len(want) < 50
+
+
+def test_containment_computes_a_ring_once(spark):
+    """A ring that is itself an expression isn't computed anew for each edge and each of its ends."""
+    ring = geometry.ring((F.col("id"), F.lit(0.0)), (F.col("id") + 2, F.lit(0.0)), (F.col("id"), F.lit(3.0)))
+    e = geometry.in_polygon(F.struct(F.col("id").cast("double").alias("x"), F.lit(1.0).alias("y")), ring)
+    plan = spark.range(9).where(e)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("array(CASE") == 1
+
+
 def test_decoding(spark):
     df = spark.createDataFrame([([1, 2, 3, 4], 20, float("nan"))], "a array<int>, v int, x double")
     r = df.select(
