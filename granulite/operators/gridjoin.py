@@ -9,9 +9,9 @@ the work before the last step follows a ring's circumference, not its area, and
 needn't be convex.
 
 A ring is one value of a row, so nothing is exchanged: batches of rings are cut where they
-are read, on arrays. What a task holds is bounded by ``PIECES`` and ``CELLS``, whatever
-the number of rings and the size of one; only the pieces in one row of one ring are held
-together.
+are read, on arrays. Beside a batch of Arrow's, what a task holds is bounded by ``PIECES``
+and ``CELLS``, whatever the number of rings and the area of one; only the points of one
+ring and the pieces in one of its rows are held together.
 """
 
 from __future__ import annotations
@@ -53,11 +53,12 @@ def _spread(low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def _edges(rings: pa.ListArray, frame: tuple[float, float, float, float]) -> tuple[np.ndarray, ...]:
     """Number of the ring and ends of each edge, in units of the grid; level edges enclose nothing."""
     ox, oy, sx, sy = frame
-    offsets = rings.offsets.to_numpy()
+    offsets = rings.offsets.to_numpy().astype(np.int64)
+    points, offsets = rings.values.slice(offsets[0], offsets[-1] - offsets[0]), offsets - offsets[0]
     size = np.where(rings.is_valid().to_numpy(zero_copy_only=False), np.diff(offsets), 0)
-    ring, at = _spread(offsets[:-1].astype(np.int64), np.where(size > 3, offsets[:-1] + size - 2, offsets[:-1] - 1))
-    known = rings.values.is_valid().to_numpy(zero_copy_only=False)
-    x, y = (np.where(known, rings.values.field(k).cast(pa.float64()).to_numpy(zero_copy_only=False), np.nan) for k in "xy")
+    ring, at = _spread(offsets[:-1], np.where(size > 3, offsets[:-1] + size - 2, offsets[:-1] - 1))
+    known = points.is_valid().to_numpy(zero_copy_only=False)
+    x, y = (np.where(known, points.field(k).cast(pa.float64()).to_numpy(zero_copy_only=False), np.nan) for k in "xy")
     u, v = (x - ox) / sx, (y - oy) / sy
     pu, pv, qu, qv = u[at], v[at], u[at + 1], v[at + 1]
     fit = np.isfinite(pu) & np.isfinite(pv) & np.isfinite(qu) & np.isfinite(qv) & (pv != qv)
@@ -114,8 +115,21 @@ def _before(c: np.ndarray, start: np.ndarray) -> np.ndarray:
     return out
 
 
+def _slices(rings: pa.ListArray) -> Iterator[tuple[int, int]]:
+    """Ranges of rings of about PIECES points each."""
+    if len(rings):
+        first = np.flatnonzero(np.diff(rings.offsets.to_numpy()[:-1] // PIECES, prepend=-1))
+        yield from zip(first.tolist(), [*first[1:].tolist(), len(rings)])
+
+
 def _cut(rings: pa.ListArray, most: int, frame: tuple[float, float, float, float], width: int | None, height: int | None) -> Iterator[tuple[np.ndarray, ...]]:
     """(ring, i, j, ratio) of the cells that rings overlap, at most ``most`` at once."""
+    for a, b in _slices(rings):
+        for ring, *cells in _cut_slice(rings.slice(a, b - a), most, frame, width, height):
+            yield ring + a, *cells
+
+
+def _cut_slice(rings: pa.ListArray, most: int, frame: tuple[float, float, float, float], width: int | None, height: int | None) -> Iterator[tuple[np.ndarray, ...]]:
     edges = _edges(rings, frame)
     _, pu, pv, qu, qv = edges
     low, high = _first(pv, qv), _last(pv, qv)
