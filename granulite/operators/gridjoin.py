@@ -167,7 +167,7 @@ def _cut_slice(rings: pa.ListArray, most: int, frame: tuple[float, float, float,
 def _cells(df: DataFrame, ring: str, frame: tuple[float, float, float, float], keep: list[str], width: int | None, height: int | None, kind: str) -> DataFrame:
     frame = tuple(map(float, frame))
     names = {c: f"__k{n}" for n, c in enumerate(dict.fromkeys(keep))}
-    df = df.select(*(F.col(f"`{c}`").alias(n) for c, n in names.items()), F.col(ring).alias("__r")).where(F.size("__r") > 3)
+    df = df.select(*(F.col(f"`{c}`").alias(n) for c, n in names.items()), F.col(ring).alias("__r"))
     whole, number = {"int": (IntegerType(), pa.int32()), "long": (LongType(), pa.int64())}[kind]
     fields = [*(df.schema[n] for n in names.values()), StructField("__i", whole), StructField("__j", whole), StructField("__ratio", DoubleType())]
     own, out = len(names), [f.name for f in fields]
